@@ -46,7 +46,7 @@ def sample_name_long(path: Column) -> Column:
 
 def phred_values(quality: Column) -> Column:
     """Base qualities as an array of numbers from their printable form."""
-    return F.transform(F.split(quality, "(?!^)"), lambda c: F.ascii(c) - 33)
+    return F.transform(F.regexp_extract_all(quality, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) - 33)
 
 
 def phred_text(values: Column) -> Column:

@@ -42,6 +42,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: in
     meet = (lambda a, b: a <= b) if touching else (lambda a, b: a < b)
 
     def spread(df: DataFrame) -> DataFrame:
+        if not touching:
+            df = df.where(F.col("start") < F.col("stop"))
         first_bin, last_bin = F.floor(F.col("start") / width).cast("bigint"), F.floor(last(F.col("stop")) / width).cast("bigint")
         return df.withColumn("__bin", F.explode(F.when(first_bin <= last_bin, F.sequence(first_bin, last_bin))))
 

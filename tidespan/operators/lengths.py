@@ -53,7 +53,7 @@ def rename_references(records: DataFrame, old: DataFrame, new: DataFrame, column
 def rewrite_sequences(reads: DataFrame, how: str, *, rename: bool = False) -> DataFrame:
     """Erases (``erase``), masks (``mask``) or shuffles (``shuffle``) the bases; ``rename`` numbers the reads by name."""
     seq = F.col("seq")
-    changed = {"erase": F.when(seq.isNotNull(), F.lit("*")), "mask": F.repeat(F.lit("N"), F.length(seq)), "shuffle": F.array_join(F.shuffle(F.split(seq, "(?!^)")), "")}
+    changed = {"erase": F.when(seq.isNotNull(), F.lit("*")), "mask": F.repeat(F.lit("N"), F.length(seq)), "shuffle": F.array_join(F.shuffle(F.regexp_extract_all(seq, F.lit("."), F.lit(0))), "")}
     if how not in changed:
         raise ValueError("how is erase, mask or shuffle")
     out = reads.withColumn("seq", changed[how])

@@ -50,6 +50,7 @@ def read_sam(spark: SparkSession, path: str, refs: DataFrame | None = None) -> D
 
 def register_bam(spark: SparkSession) -> None:
     """Makes ``spark.read.format("bam")`` known. Option ``table``: ``alignments`` (default) or ``header``."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
 
 

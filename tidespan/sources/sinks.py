@@ -100,7 +100,7 @@ def sam_lines(reads: DataFrame, refs: DataFrame) -> DataFrame:
     mates = refs.select(F.col("tid").alias("mate_tid"), F.col("name").alias("mate"))
     star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
     place = lambda c: (F.coalesce(F.col(c), F.lit(-1)) + 1).cast("string")
-    line = F.concat_ws("\t", "qname", F.col("flag").cast("string"), star("rname"), place("start"), F.col("mapq").cast("string"), star("cigar"), star("mate"), place("mate_pos"), F.coalesce("isize", F.lit(0)).cast("string"), star("seq"), star("qual"))
+    line = F.concat_ws("\t", "qname", F.col("flag").cast("string"), star("rname"), place("start"), F.col("mapq").cast("string"), star("cigar"), F.when(F.col("mate_tid") == F.col("tid"), "=").otherwise(star("mate")), place("mate_pos"), F.coalesce("isize", F.lit(0)).cast("string"), star("seq"), star("qual"))
     rows = reads.join(names, "tid", "left").join(mates, "mate_tid", "left")
     last = F.lit(1 << 30)
     return head.unionByName(rows.select(F.coalesce("tid", last).alias("o1"), F.col("start").alias("o2"), line.alias("value")))
