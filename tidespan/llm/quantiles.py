@@ -251,7 +251,7 @@ def _merged(partial: DataFrame, groups: list[str], section: int, high: bool, sha
     splits = partial.rdd.getNumPartitions()
     if splits > _FAN_IN:
         rounds = F.pmod(F.xxhash64("salt"), F.lit(max(2, math.isqrt(splits)))).cast("int")
-        first = _merge_round(partial.withColumn("salt", rounds), [*groups, "salt"], section, high, None)
+        first = _merge_round(partial.select(*groups, rounds.alias("salt"), "raw", "sketch"), [*groups, "salt"], section, high, None)
         partial = first.select(*groups, F.lit(None).cast("array<double>").alias("raw"), "sketch")
     return _merge_round(partial.select(*groups, "raw", "sketch"), groups, section, high, shares)
 

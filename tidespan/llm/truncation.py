@@ -269,7 +269,7 @@ def score_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) ->
     log_odds = seen.groupBy("context").agg(F.log(p / (1 - p)).alias("log_odds"))
 
     total = F.log((F.sum("ends") + 1) / (F.sum("goes_on") + 50))
-    overall = by_language.agg(total.alias("usual")).first()["usual"]
+    overall = by_language.agg(total.alias("usual")).first()["usual"] or -4.0
     # few languages; one of few positions leans on all
     usual = by_language.groupBy("language").agg(F.log((F.sum("ends") + 50 * math.exp(overall)) / (F.sum("goes_on") + 50)).alias("usual"))
 
