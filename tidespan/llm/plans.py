@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidespan.llm.containers import fill_containers
@@ -23,20 +23,21 @@ def _labelled(found: DataFrame, field: str, name: str) -> DataFrame:
     return found.select(F.lit(field).alias("field_name"), "sample", F.col(name).cast("string").alias("name"), "n", "least", *SHARES, "greatest", F.lit(rank_error()).alias("rank_error"))
 
 
-_MEAN = F.when(F.col("bam_mean") != -1, F.col("bam_mean"))
-_FORWARD = F.when(F.col("forward") != -1, F.col("forward"))
+def _measured(column: str) -> Column:
+    """-1 stands for what wasn't measured."""
+    return F.when(F.col(column) != -1, F.col(column))
 
 
 def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of bam_mean per sample and name and of forward per sample and tid, over all rows."""
-    means = percentiles(_table(spark, folder, "stats"), ["sample", "name"], _MEAN, SHARES)
-    depths = percentiles(_table(spark, folder, "coverage"), ["sample", "tid"], _FORWARD, SHARES)
+    means = percentiles(_table(spark, folder, "stats"), ["sample", "name"], _measured("bam_mean"), SHARES)
+    depths = percentiles(_table(spark, folder, "coverage"), ["sample", "tid"], _measured("forward"), SHARES)
     return _labelled(means, "bam_mean", "name").unionByName(_labelled(depths, "forward", "tid"))
 
 
 def p6_from_days(spark: SparkSession, folder: str) -> DataFrame:
     """The same for forward, from the sketches of single run_days."""
-    days = sketch_groups(_table(spark, folder, "coverage"), ["run_day", "sample", "tid"], _FORWARD)
+    days = sketch_groups(_table(spark, folder, "coverage"), ["run_day", "sample", "tid"], _measured("forward"))
     return _labelled(read_percentiles(days, ["sample", "tid"], SHARES), "forward", "tid")
 
 
