@@ -41,34 +41,22 @@ def _mean(bases: Column, length: Column) -> Column:
     return F.coalesce(bases.cast("double") / F.nullif(length.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def region_stats(runs: DataFrame, regions: DataFrame, *, stranded: bool = False, low: int | None = None, compat: bool = False) -> DataFrame:
+def region_stats(runs: DataFrame, regions: DataFrame, *, samples: list[str] | None = None, stranded: bool = False, low: int | None = None, compat: bool = False) -> DataFrame:
     """``depth_stats`` per sample and region name; regions of one name are pooled.
 
-    Every name is listed for every sample of ``runs``, with zeros where nothing lies.
+    Every name is listed for every one of ``samples``, with zeros where nothing lies. Where
+    the samples aren't given they are looked up, which computes the runs once more.
     """
     stats = depth_stats(clip_to_regions(runs, regions, compat=compat), ["sample", "name"], stranded=stranded, low=low)
-    names = _first_seen(regions)
-    # the names of one sample are those of another: spread them without pairing rows
-    samples = runs.select("sample").distinct().agg(F.collect_list(F.struct("sample")).alias("samples"))
-    listed = _per_sample(names, samples)
+    if samples is None:
+        samples = [r["sample"] for r in runs.select("sample").distinct().collect()]
     values = [c for c in stats.columns if c not in ("sample", "name")]
+    entries = F.explode(F.array(*(F.lit(s).cast("string") for s in samples)) if samples else F.array().cast("array<string>"))
+    listed = regions.select("name").distinct().select("name", entries.alias("sample"))
     on = F.col("l.name").eqNullSafe(F.col("s.name")) & F.col("l.sample").eqNullSafe(F.col("s.sample"))
     return listed.alias("l").join(stats.alias("s"), on, "left").select("l.sample", "l.name", *(F.coalesce(f"s.{c}", F.lit(0).cast(stats.schema[c].dataType)).alias(c) for c in values))
 
 
-def _per_sample(names: DataFrame, samples: DataFrame) -> DataFrame:
-    """Each row of ``names`` for each entry of the one-row ``samples``."""
-    found = samples.first()["samples"]
-    if not found:
-        return names.select(F.lit(None).cast("string").alias("sample"), "name").limit(0)
-    entries = F.array(*(F.struct(F.lit(r["sample"]).cast("string").alias("sample")) for r in found))
-    return names.select(F.explode(entries).alias("entry"), "name").select("entry.sample", "name")
-
-
-def _first_seen(regions: DataFrame) -> DataFrame:
-    return regions.select("name").distinct()
-
-
 def ref_stats(runs: DataFrame, refs: DataFrame, *, stranded: bool = False, low: int | None = None) -> DataFrame:
     """``depth_stats`` per sample and reference name."""
     stats = depth_stats(runs, ["sample", "tid"], stranded=stranded, low=low)

@@ -34,7 +34,9 @@ def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, s
     A reference without reads is one run of 0. ``samples`` (default: those of the intervals)
     are all listed; a null sample is one of its own. Empty references have no runs.
     """
-    keys = ["sample", "tid"]
+    # as a struct, a null sample joins by plain equality, which keeps the tiles where they are
+    keys = ["group", "tid"]
+    intervals = intervals.withColumn("group", F.struct("sample"))
     reverse = F.col("reverse")
     change = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d"))))
     events = intervals.where(F.col("start") < F.col("stop")).select(*keys, "reverse", "length", change.alias("e")).select(*keys, F.col("e.pos").alias("pos"), F.when(reverse, 0).otherwise(F.col("e.d")).cast("bigint").alias("df"), F.when(reverse, F.col("e.d")).otherwise(0).cast("bigint").alias("dr"), "length")
@@ -44,7 +46,7 @@ def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, s
         raise ValueError("too many references")
     known = intervals.select("sample").distinct() if samples is None else refs.sparkSession.createDataFrame([(s,) for s in samples], "sample string")
     origin = F.explode(F.from_json(F.lit("[" + ",".join(f"[{r['tid']}]" for r in lengths) + "]"), "array<array<int>>"))
-    zeros = known.select("sample", origin.alias("t")).select("sample", F.col("t")[0].alias("tid"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("df"), F.lit(0).cast("bigint").alias("dr"))
+    zeros = known.select(F.struct("sample").alias("group"), origin.alias("t")).select("group", F.col("t")[0].alias("tid"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("df"), F.lit(0).cast("bigint").alias("dr"))
     changes = events.unionByName(zeros).groupBy(*keys, "pos").agg(F.sum("df").alias("df"), F.sum("dr").alias("dr"))
     moved = (F.col("df") != 0) | (F.col("dr") != 0) if stranded else (F.col("df") + F.col("dr")) != 0
     changes = changes.where(moved | (F.col("pos") == 0))
@@ -64,26 +66,27 @@ def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, s
         for (_, now), then in zip(values, was):
             other = other | (now != then)
         depth = depth.where(other)
-    return _with_stops(depth.select(*keys, "pos", *(["tile"] if tiles else []), *(v.alias(k) for k, v in values)), refs, keys, [k for k, _ in values], tiles)
+    return _with_stops(depth.select(*keys, "pos", *(["tile"] if tiles else []), *(["later"] if tiles and bands is None else []), *(v.alias(k) for k, v in values)), refs, keys, [k for k, _ in values], tiles)
 
 
 def _running(changes: DataFrame, keys: list[str], sums: list[str], tile: int | None) -> DataFrame:
-    """Adds ``<c>_sum``, the running sum of each of ``sums`` in order of ``pos``."""
+    """Adds ``<c>_sum``, the running sum of each of ``sums`` in order of ``pos``; with tiles also ``later``, the first change after the tile."""
     if tile is None:
         by = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         return changes.select("*", *(F.sum(c).over(by).alias(f"{c}_sum") for c in sums))
     tiled = changes.withColumn("tile", F.expr(f"pos div {tile}"))
     by = Window.partitionBy(*keys, "tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tiled.groupBy(*keys, "tile").agg(*(F.sum(c).alias(f"{c}_tile") for c in sums))
-    carried = carried.select(*keys, "tile", *(F.coalesce(F.sum(f"{c}_tile").over(before), F.lit(0)).alias(f"{c}_carry") for c in sums))
+    carried = tiled.groupBy(*keys, "tile").agg(F.min("pos").alias("first"), *(F.sum(c).alias(f"{c}_tile") for c in sums))
+    later = F.lead("first").over(Window.partitionBy(*keys).orderBy("tile")).alias("later")
+    carried = carried.select(*keys, "tile", later, *(F.coalesce(F.sum(f"{c}_tile").over(before), F.lit(0)).alias(f"{c}_carry") for c in sums))
     inner = tiled.select("*", *(F.sum(c).over(by).alias(f"{c}_in") for c in sums))
-    return _join_tiles(inner, carried, keys).select(*keys, "tile", "pos", *sums, *((F.col(f"{c}_in") + F.col(f"{c}_carry")).alias(f"{c}_sum") for c in sums))
+    return _join_tiles(inner, carried, keys).select(*keys, "tile", "pos", "later", *sums, *((F.col(f"{c}_in") + F.col(f"{c}_carry")).alias(f"{c}_sum") for c in sums))
 
 
 def _join_tiles(rows: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their tile's row; keys may be null."""
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, "tile")]
+    """Rows with their tile's row."""
+    on = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in (*keys, "tile")]
     return rows.alias("r").join(tiles.alias("t"), on).select("r.*", *(f"t.{c}" for c in tiles.columns if c not in (*keys, "tile")))
 
 
@@ -91,14 +94,16 @@ def _with_stops(runs: DataFrame, refs: DataFrame, keys: list[str], values: list[
     """Each run stops where the next of its reference begins, the last at the reference's end."""
     by = Window.partitionBy(*keys, *(["tile"] if tile else [])).orderBy("pos")
     following = F.lead("pos").over(by)
-    if tile is not None:
+    if "later" in runs.columns:
+        runs = runs.withColumn("next", F.coalesce(following, "later"))
+    elif tile is not None:
         firsts = runs.groupBy(*keys, "tile").agg(F.min("pos").alias("first"))
         later = firsts.select(*keys, "tile", F.lead("first").over(Window.partitionBy(*keys).orderBy("tile")).alias("later"))
         runs = _join_tiles(runs.withColumn("next", following), later, keys).withColumn("next", F.coalesce("next", "later"))
     else:
         runs = runs.withColumn("next", following)
     known = refs.groupBy("tid").agg(F.max("length").alias("length"))
-    return runs.join(known, "tid").select(*keys, F.col("pos").alias("start"), F.coalesce("next", "length").alias("stop"), *values)
+    return runs.join(known, "tid").select("group.sample", "tid", F.col("pos").alias("start"), F.coalesce("next", "length").alias("stop"), *values)
 
 
 def merge_equal_runs(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

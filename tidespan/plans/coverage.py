@@ -78,15 +78,15 @@ def coverage_in_regions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def region_stats_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    return region_stats(_runs(spark, folder), regions(spark, folder)).drop("sample")
+    return region_stats(_runs(spark, folder), regions(spark, folder), samples=["all"]).drop("sample")
 
 
 def region_stats_pooled_low(spark: SparkSession, folder: str) -> DataFrame:
-    return region_stats(_runs(spark, folder), regions(spark, folder, pooled=True), low=LOW).drop("sample")
+    return region_stats(_runs(spark, folder), regions(spark, folder, pooled=True), samples=["all"], low=LOW).drop("sample")
 
 
 def region_stats_stranded(spark: SparkSession, folder: str) -> DataFrame:
-    return region_stats(_runs(spark, folder, stranded=True), regions(spark, folder, pooled=True), stranded=True).drop("sample")
+    return region_stats(_runs(spark, folder, stranded=True), regions(spark, folder, pooled=True), samples=["all"], stranded=True).drop("sample")
 
 
 def reference_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def ref_cpm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return wide_report(region_stats(_sample_runs(spark, folder), regions(spark, folder, pooled=True)), SAMPLES)
+    return wide_report(region_stats(_sample_runs(spark, folder), regions(spark, folder, pooled=True), samples=SAMPLES), SAMPLES)
 
 
 def mean_matrix_total(spark: SparkSession, folder: str) -> DataFrame:
@@ -254,7 +254,7 @@ def compare_sample_counts(spark: SparkSession, folder: str) -> DataFrame:
 def whole_reference_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics with each reference as a region."""
     known = refs(spark, folder)
-    return region_stats(_runs(spark, folder), whole_references(known)).drop("sample")
+    return region_stats(_runs(spark, folder), whole_references(known), samples=["all"]).drop("sample")
 
 
 def streamed_coverage(spark: SparkSession, folder: str) -> DataFrame:
