@@ -223,7 +223,7 @@ def test_held_out_cuts_are_found(spark):
     data = _corpus(4000, 9)
     df = spark.createDataFrame(data, "id bigint, text string, source string, lang string, kind string").repartition(4)
     limits = rows(length_limits(df, "text", "source"))
-    assert ("limited", "chars", 200) in limits
+    assert ("limited", "chars", 200) in [x[:3] for x in limits]
     found = {r["row_id"] for r in cut_texts(df, "id", "text", "source", "lang").collect()}
     by = {k: [i for i, _, _, _, kind in data if kind == k] for k in ("whole", "unmarked", "title", "cut", "limit")}
     share = {k: sum(i in found for i in v) / len(v) for k, v in by.items()}
@@ -243,6 +243,6 @@ def test_odd_texts(spark):
 
 
 def test_what_was_appended():
-    cases = {"It ends… more": "It ends", "a b [...]": "a b", "a b\x00\x00": "a b", "a b \n--": "a b", "a b <connection closed>": "a b", "Done. (ok)": "Done.", "Done. #run7": "Done.", "the (x)": "the (x)", "a 75.48": "a 75.48", "a b...": "a b", "✔": "", "a, b,": "a, b,"}
+    cases = {"It ends… more": "It ends", "a b [...]": "a b", "a b\x00\x00": "a b", "a b \n--": "a b", "a b <connection closed>": "a b", "Done. (ok)": "Done.", "Done. #run7": "Done.", "the (x)": "the (x)", "a 75.48": "a 75.48", "a b...": "a b", "✔": "", "a, b,": "a, b,", "a b &am": "a b", "a b ~EOT": "a b", "a b, and\nEND OF BLOCK 7": "a b, and", "a (": "a"}
     assert {k: final_part(k)[0] for k in cases} == cases
     assert tail_kind(" [read 12 more]") == " [a 0 a]" and tail_kind("\x00\x00\x00") == "\x00"

@@ -30,17 +30,21 @@ from pyspark.sql import types as T
 from tidespan.durable import durable
 
 #: Lengths of the contexts, in characters.
-ORDERS = (2, 3, 4, 6, 9, 13, 18, 24)
+ORDERS = (2, 3, 4, 6, 9, *range(12, 33, 2))
 #: Weight of a shorter context's estimate, in occurrences.
 BACKOFF = 1.5
+#: Weight of an end without a final mark, which may be a cut, against one with it.
+WITNESS = 0.2
 #: Copies of a text longer than any context that count as one: it may have been cut once and copied then.
 COPIES = 4
 #: log2 of the bits of the bitmap of contexts.
 BITMAP = 24
 #: Occurrences by which a group's share of cut texts leans on that of the wider group.
 LEAN = 4.0
-#: Log-odds beyond which no context counts.
-SURE = 9.0
+#: Log-odds beyond which no context counts, and those under which a text is cut whatever its group.
+SURE, LEAST = 11.0, -9.5
+#: Share of a context's occurrences from which a longer one is the same evidence.
+SAME = 0.8
 #: A length is a limit if so many texts have it, so many times the mean of the lengths below.
 LIMIT_COUNT, LIMIT_TIMES = 5, 6
 
@@ -54,7 +58,7 @@ _ENDED = re.compile(rf"[{re.escape(_FINAL)}][{re.escape(_CLOSING)}]*\Z")
 _SYMBOLS = re.compile(r"(?:[^\w.,;:!?。、，；：！？．()（）「」『』【】\[\]<>\"'“”‘’«»‹›&%/@*+=]|[+*=])+\Z")
 _DOTS = re.compile(r"(?:\.{3,}|…+)\s*\Z")
 _MORE = re.compile(r"(?:\.{3,}|…)\s*[(\[<]?\s*\w{1,12}(?:\s\w{1,12})?\s*[)\]>]?\Z")
-_NOTE = re.compile(r"\s*(?:\[[^\[\]]{0,40}\]|<[^<>\s][^<>]{0,40}>|\[\Z|<\Z)\Z")
+_NOTE = re.compile(r"\s*(?:\[[^\[\]]{0,40}\]|<[^<>\s][^<>]{0,40}>|[\[<({])\Z|\s[~#|\\^$][\w;]{0,12}\Z|&#?\w{0,8}\Z|</?\w{0,12}\Z|\n[A-Z][A-Z0-9 ]{2,30}\Z")
 #: A last token that is no word, after a finished sentence.
 _TOKEN = re.compile(rf"(?<=[{re.escape(_FINAL + _CLOSING)}])\s*(?:\([^()]{{0,20}}\)|#\S*|\w+://\S*)\Z")
 
@@ -168,7 +172,7 @@ def _count_contexts(df: DataFrame, text: str, lang: str, bitmap: np.ndarray) ->
             low, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t) + ORDERS[-1]
-                if size > 1_000_000 or i + 1 == len(texts):
+                if size > 500_000 or i + 1 == len(texts):
                     yield from count(texts[low : i + 1], batch.column(1).slice(low, i + 1 - low).to_pylist(), wanted)
                     low, size = i + 1, 0
 
@@ -179,7 +183,9 @@ def _count_contexts(df: DataFrame, text: str, lang: str, bitmap: np.ndarray) ->
         mark = np.isin(after, [ord(c) for c in _FINAL])
         blank = (then <= 32) | (then == 0x3000) | (then == 0xA0) | np.isin(then, [ord(c) for c in _CLOSING])
         ended = mark & (blank | (after > 0x3000))
-        unclear = np.isin(after, [0x2026, 0xFFFD]) | ((after == 46) & (then == 46)) | (np.isin(codes, [ord(c) for c in _FINAL + _CLOSING]))
+        final, closing = np.isin(codes, [ord(c) for c in _FINAL]), np.isin(codes, [ord(c) for c in _CLOSING])
+        closed = final | (closing & np.append(False, (final | closing)[:-1]))
+        unclear = np.isin(after, [0x2026, 0xFFFD]) | ((after == 46) & (then == 46)) | closed
         inside = np.zeros(n + 1, np.int32)
         np.add.at(inside, starts, 1)
         np.add.at(inside, np.maximum(ends - 1, starts), -1)  # what a text's last character means isn't known
@@ -207,7 +213,7 @@ def _count_contexts(df: DataFrame, text: str, lang: str, bitmap: np.ndarray) ->
 
 
 def length_limits(df: DataFrame, text: str, source: str) -> DataFrame:
-    """The length limits that the sources' histograms show: source, unit (``chars`` or ``bytes``), limit.
+    """The length limits that the sources' histograms show: source, unit (``chars`` or ``bytes``), limit, n, by_chance.
 
     A limit is a length of at least LIMIT_COUNT texts, LIMIT_TIMES as many as the mean of the
     20 lengths below, with at most a quarter as many longer texts.
@@ -218,7 +224,7 @@ def length_limits(df: DataFrame, text: str, source: str) -> DataFrame:
     counts = lengths.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
     near = counts.withColumn("below", F.coalesce(F.sum("n").over(by.rangeBetween(-20, -1)), F.lit(0)) / 20).withColumn("above", F.coalesce(F.sum("n").over(Window.partitionBy("source", "unit").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     enough = (F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_TIMES * F.greatest("below", F.lit(0.2))) & (F.col("above") <= F.col("n") / 4)
-    return near.where(enough).select("source", "unit", F.col("size").cast("bigint").alias("limit"))
+    return near.where(enough).select("source", "unit", F.col("size").cast("bigint").alias("limit"), "n", F.col("below").alias("by_chance"))
 
 
 def _shares(scored: DataFrame, keys: list[str], prior: Column) -> DataFrame:
@@ -254,49 +260,73 @@ def score_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) ->
         bitmap[r["word"]] = r["bits"]
     counted, by_language = _count_contexts(df, text, lang, bitmap.view(np.uint64))
 
+    overall = by_language.agg(F.log((F.sum("ends") + 1) / (F.sum("goes_on") + 50)).alias("usual")).first()["usual"] or -4.0
+    # few languages; one of few positions leans on all
+    usual = by_language.groupBy("language").agg(F.log((F.sum("ends") + 50 * math.exp(overall)) / (F.sum("goes_on") + 50)).alias("usual"))
+    unmarked = opens.count() / max(1, df.count())
+    known = durable(
+        opens.join(usual, "language", "left")
+        .join(_limits_by_source(df, text, source, unmarked), "source", "left")
+        .select("row_id", "source", F.coalesce("source", F.lit("")).alias("source_key"), "language", "tail", "same", "chars", "contexts", F.coalesce("usual", F.lit(overall)).alias("usual"), F.coalesce(_pile_up(), F.lit(0.0)).alias("pile_up"))
+        .withColumn("at_limit", F.col("pile_up") > 0)
+    )
+    # texts that were cut are no witnesses of an end: what the first round finds weighs less in the second
+    first = _round(known.withColumn("weight", F.lit(1.0)), counted)
+    whole = first.select("row_id", (1 - F.col("probability")).alias("weight"))
+    second = _round(durable(known.join(whole, "row_id").select(*known.columns, "weight")), counted)
+    return second.select("row_id", "source", "language", "tail", "at_limit", "log_odds", "threshold", (F.col("log_odds") < F.col("threshold")).alias("cut"))
+
+
+def _limits_by_source(df: DataFrame, text: str, source: str, unmarked: float) -> DataFrame:
+    """For each source its limits of either unit, and how many of the unmarked texts as long as that are there by the limit."""
+    limits = length_limits(df, text, source)
+    beyond = F.col("n") - F.col("by_chance")
+    share = beyond / (beyond + unmarked * F.greatest("by_chance", F.lit(0.2)))
+    entry = F.struct(F.col("limit"), share.alias("share"))
+    return limits.groupBy("source").agg(F.collect_list(F.when(F.col("unit") == "chars", entry)).alias("chars_limits"), F.collect_list(F.when(F.col("unit") == "bytes", entry)).alias("bytes_limits"))
+
+
+def _pile_up() -> Column:
+    """The greatest share of a limit that a text reaches; a character that was cut in two shortens it by up to three bytes."""
+    chars = F.filter("chars_limits", lambda x: (x["limit"] == F.col("chars")) | (x["limit"] == F.col("core_chars")))
+    width = lambda c, x: F.col(c).between(x["limit"] - 3, x["limit"])
+    size = F.filter("bytes_limits", lambda x: width("bytes", x) | width("core_bytes", x))
+    return F.array_max(F.transform(F.concat(chars, size), lambda x: x["share"]))
+
+
+def _round(known: DataFrame, counted: DataFrame) -> DataFrame:
+    """One round of scores: row_id, source, language, tail, at_limit, log_odds, threshold, probability (of a cut)."""
     # the first copies of a text are one witness; a text is none for itself
-    texts = opens.groupBy("same").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("n"), F.first("chars").alias("chars"))
-    witnesses = F.when(F.col("chars") <= ORDERS[-1], F.col("n")).otherwise(1 + F.greatest(F.lit(0), F.col("n") - COPIES))
-    own = texts.select(F.explode("contexts").alias("h"), witnesses.alias("n")).groupBy("h").agg((F.sum("n") - 1).alias("others"))
-    model = own.join(counted, "h", "left").select("h", (F.col("others") + F.coalesce("ends", F.lit(0))).alias("ends"), F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
+    texts = known.groupBy("same").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("n"), F.first("chars").alias("chars"), F.avg("weight").alias("weight"))
+    witnesses = F.when(F.col("chars") <= ORDERS[-1], F.col("n")).otherwise(1 + F.greatest(F.lit(0), F.col("n") - COPIES)) * F.col("weight")
+    own = texts.select(F.explode("contexts").alias("h"), witnesses.alias("n")).groupBy("h").agg((WITNESS * F.greatest(F.lit(0.0), F.sum("n") - 1)).alias("others"))
+    model = own.join(counted, "h", "left").select("h", (F.col("others") + F.coalesce("ends", F.lit(0))).alias("ends"), F.coalesce("goes_on", F.lit(0)).cast("double").alias("goes_on"))
     last = F.col("contexts")[len(ORDERS) - 1]
-    distinct = opens.select(last.alias("context"), "contexts").dropDuplicates(["context"])
+    distinct = known.select(last.alias("context"), "contexts").dropDuplicates(["context"])
     seen = distinct.select("context", F.posexplode("contexts").alias("order", "h")).join(model, "h")
     chain = F.array_sort(F.collect_list(F.struct("order", "ends", "goes_on")))
-    step = lambda p, x: (x["ends"] + BACKOFF * p) / (x["ends"] + x["goes_on"] + BACKOFF)
+
+    def step(state: Column, x: Column) -> Column:
+        # a longer context that was seen nearly as often says the same again: it takes the shorter one's place
+        total = x["ends"] + x["goes_on"]
+        base = F.when(total >= SAME * state["total"], state["base"]).otherwise(state["p"])
+        return F.struct(((x["ends"] + BACKOFF * base) / (total + BACKOFF)).alias("p"), base.alias("base"), total.alias("total"))
+
+    start = F.struct(F.lit(0.02).alias("p"), F.lit(0.02).alias("base"), F.lit(1e18).alias("total"))
     rare = 1 / (1 + math.exp(SURE))
-    p = F.greatest(F.lit(rare), F.least(F.lit(1 - rare), F.aggregate(chain, F.lit(0.02), step)))
+    p = F.greatest(F.lit(rare), F.least(F.lit(1 - rare), F.aggregate(chain, start, step)["p"]))
     log_odds = seen.groupBy("context").agg(F.log(p / (1 - p)).alias("log_odds"))
 
-    total = F.log((F.sum("ends") + 1) / (F.sum("goes_on") + 50))
-    overall = by_language.agg(total.alias("usual")).first()["usual"] or -4.0
-    # few languages; one of few positions leans on all
-    usual = by_language.groupBy("language").agg(F.log((F.sum("ends") + 50 * math.exp(overall)) / (F.sum("goes_on") + 50)).alias("usual"))
-
-    limits = length_limits(df, text, source)
-    limits = limits.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("limit"))).alias("chars_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("limit"))).alias("bytes_limits"))
-    at_limit = (
-        F.array_contains("chars_limits", F.col("chars"))
-        | F.array_contains("chars_limits", F.col("core_chars"))
-        | F.exists("bytes_limits", lambda x: F.col("bytes").between(x - 3, x))
-        | F.exists("bytes_limits", lambda x: F.col("core_bytes").between(x - 3, x))
-    )
-    scored = durable(
-        opens.withColumn("context", last)
-        .join(log_odds, "context")
-        .join(usual, "language", "left")
-        .join(limits, "source", "left")
-        .select("row_id", "source", "language", "tail", F.coalesce(at_limit, F.lit(False)).alias("at_limit"), "log_odds", F.coalesce("usual", F.lit(overall)).alias("usual"))
-        .withColumn("against", F.col("usual") - F.col("log_odds"))
-    )
-    wide = _shares(scored, ["at_limit"], F.when(F.col("at_limit"), 0.8).otherwise(0.3)).withColumnRenamed("share", "wide")
-    kind = _shares(scored.join(F.broadcast(wide), "at_limit"), ["at_limit", "tail"], F.col("wide")).withColumnRenamed("share", "wide")
-    keyed = scored.withColumn("source_key", F.coalesce("source", F.lit("")))
-    group = _shares(keyed.join(kind, ["at_limit", "tail"]), ["source_key", "at_limit", "tail"], F.col("wide"))
-    threshold = F.col("usual") + F.log(F.col("share") / (1 - F.col("share")))
-    return keyed.join(group, ["source_key", "at_limit", "tail"]).select(
-        "row_id", "source", "language", "tail", "at_limit", "log_odds", threshold.alias("threshold"), (F.col("log_odds") < threshold).alias("cut")
-    )
+    scored = durable(known.withColumn("context", last).join(log_odds, "context").drop("contexts", "context", "same", "chars").withColumn("against", F.col("usual") - F.col("log_odds")))
+    free = scored.where(~F.col("at_limit"))
+    wide = _shares(free.withColumn("all", F.lit(0)), ["all"], F.lit(0.3)).withColumnRenamed("share", "wide")
+    kind = _shares(free.withColumn("all", F.lit(0)).join(F.broadcast(wide), "all"), ["tail"], F.col("wide")).withColumnRenamed("share", "wide")
+    group = _shares(free.join(kind, "tail"), ["source_key", "tail"], F.col("wide"))
+    # where a limit is reached, the histogram of lengths says how many are cut
+    share = F.when(F.col("at_limit"), F.greatest(F.lit(0.5), F.least(F.lit(1 - 1e-4), F.col("pile_up")))).otherwise(F.col("share"))
+    prior = F.log(share / (1 - share))
+    odds = F.exp(F.col("against") + prior)
+    return scored.join(group, ["source_key", "tail"], "left").select("row_id", "source", "language", "tail", "at_limit", "log_odds", F.greatest(F.col("usual") + prior, F.lit(LEAST)).alias("threshold"), (odds / (1 + odds)).alias("probability"))
 
 
 def cut_texts(df: DataFrame, row_id: str, text: str, source: str, lang: str) -> DataFrame:
