@@ -40,6 +40,7 @@ def test_counts(spark, capsys, files):
     for line in _run(capsys, "counts", files / "mini.sam", "-r", files / "t.bed"):
         name, count = line.split("\t")
         assert name.rpartition("_")[2] == count
+    assert [x.split("\t")[0] for x in _run(capsys, "counts", files / "mini.sam", "-r", files / "t.bed")][-1] == "null_0"
     both = _run(capsys, "counts", files / "mini.sam", files / "other.sam", "-r", files / "t.bed")
     assert both[0] == "#Feature\tmini\tother" and "include_5\t5\t5" in both
     assert _run(capsys, "refcounts", files / "mini.sam") == ["ViralSequence\tmini", "seq0\t0", "seq1\t15", "seq2\t10"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidespan import generate
-from tidespan.functions.alignments import phred_text, phred_values, query_length, reference_length, sample_name, sample_name_long
+from tidespan.functions.alignments import flag_bits, phred_text, phred_values, query_length, reference_length, sample_name, sample_name_long, swap_strand
 from tidespan.functions.regions import attribute, fixed, size_in_bases
 from tidespan.operators.alignments import read_intervals
 from tidespan.operators.lengths import length_stats, rename_references, rewrite_sequences
@@ -67,6 +67,9 @@ def test_sam(spark, tmp_path):
     sinks.write_lines(sinks.sam_lines(found, refs), str(tmp_path / "out"))
     again = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(x for x in again if x[0] != "@") == sorted(x.rsplit("\t", 1)[0].replace("0\t*\t=", "0\t*\t*") for x in SAM.splitlines() if x[0] != "@")
+    spark.createDataFrame([(x,) for x in SAM.splitlines()], "value string").coalesce(1).write.text(str(tmp_path / "feed"))
+    sam.stream_sam(spark, str(tmp_path / "feed"), refs).writeStream.format("memory").queryName("fed").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("fed"), "qname", "flag", "stop") == rows(found, "qname", "flag", "stop")
     assert next(iter(sinks.fastq_lines(found.where("flag = 99")).collect()))["value"] == "@r1/1\t0:203\nACGT\n+\nIIII"
 
 
@@ -117,6 +120,11 @@ def test_expressions(spark):
     assert size_in_bases("1.5k") == 1500 and size_in_bases("7") == 7
 
 
+def test_flag_helpers(spark):
+    row = spark.createDataFrame([(99,), (16,)], "f int")
+    assert [tuple(r) for r in row.select(swap_strand(F.col("f")), flag_bits(F.col("f"))).collect()] == [(83, "000001100011"), (0, "000000010000")]
+
+
 def test_lengths_and_rewriting(spark):
     lengths = spark.createDataFrame([(x,) for x in [2, 2, 2, 3, 3, 4, 8, 8, None]], "length bigint")
     assert tuple(length_stats(lengths).first()) == (8, 32, 8, 4)

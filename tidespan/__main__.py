@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidespan.operators.alignments import keep_fragments, keep_reads, read_intervals
 from tidespan.operators.joins import bind_regions
+from tidespan.operators.lengths import whole_references
 from tidespan.operators.multisample import antitarget, sample_matrix, shared_low_coverage, wide_report
 from tidespan.operators.spans import fill_spans, span_summary
-from tidespan.operators.stats import clip_to_regions, count_refs, coverage_to_target, mapped_reads, ref_stats, region_counts, region_stats, total_reads
+from tidespan.operators.stats import clip_to_regions, count_refs, coverage_to_target, mapped_reads, name_order, ref_stats, region_counts, region_stats, total_reads
 from tidespan.operators.sweep import coverage
 from tidespan.options import DEFAULT_FLAG_MASK, SPAN_FUNCTIONS, InputOptions, OutputOptions
 from tidespan.session import ship
@@ -74,18 +75,21 @@ def _coverage(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.report:
         how = {"stranded": shape.stranded, "low": shape.report_low}
         stats = region_stats(runs, target, samples=samples, **how) if target is not None else ref_stats(runs, refs, **how)
-        sinks.write_lines(sinks.report_lines(wide_report(stats, samples)), args.report)
+        order = name_order(target if target is not None else whole_references(refs))
+        sinks.write_lines(sinks.in_region_order(sinks.report_lines(wide_report(stats, samples)), order), args.report)
 
 
 def _counts(spark: SparkSession, args: argparse.Namespace) -> None:
     found, refs, samples = _alignments(spark, args.alignments)
     reads = keep_fragments(found) if args.paired else found
     intervals = read_intervals(reads, refs, InputOptions(args.mapq, args.flag))
-    counts = region_counts(intervals, _target(spark, args, refs), samples=samples, total_reads=total_reads(found) if args.rpkm else None, strict=args.strict, compat=args.compat)
+    target = _target(spark, args, refs)
+    counts = region_counts(intervals, target, samples=samples, total_reads=total_reads(found) if args.rpkm else None, strict=args.strict, compat=args.compat)
     if len(samples) > 1:
-        _write(sinks.report_lines(sample_matrix(counts, "name", "counts", samples), first="#Feature"), args.out)
+        lines = sinks.report_lines(sample_matrix(counts, "name", "counts", samples), first="#Feature")
     else:
-        _write(sinks.count_lines(counts, stranded=args.stranded, coords=args.coords, rpkm=args.rpkm, per_position=args.norm_len, precision=args.precision, header=args.header), args.out)
+        lines = sinks.count_lines(counts, stranded=args.stranded, coords=args.coords, rpkm=args.rpkm, per_position=args.norm_len, precision=args.precision, header=args.header)
+    _write(sinks.in_region_order(lines, name_order(target)), args.out)
 
 
 def _refcounts(spark: SparkSession, args: argparse.Namespace) -> None:

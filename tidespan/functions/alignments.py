@@ -52,3 +52,14 @@ def phred_values(quality: Column) -> Column:
 def phred_text(values: Column) -> Column:
     """The printable form of an array of base qualities."""
     return F.array_join(F.transform(values, lambda q: F.char(q + 33)), "")
+
+
+def swap_strand(flag: Column) -> Column:
+    """The flag with the strands of the read and, if paired, of its mate exchanged."""
+    turned = flag.bitwiseXOR(REVERSE)
+    return F.when(has_flag(flag, PAIRED), turned.bitwiseXOR(MATE_REVERSE)).otherwise(turned)
+
+
+def flag_bits(flag: Column) -> Column:
+    """The twelve bits of a flag as text, highest first."""
+    return F.lpad(F.bin(flag), 12, "0")

@@ -90,6 +90,12 @@ def region_coordinates(regions: DataFrame) -> DataFrame:
     return grouped.select("name", joined("chrom").alias("chrom"), joined("start").alias("starts"), joined("stop").alias("stops"), "length")
 
 
+def name_order(regions: DataFrame) -> DataFrame:
+    """Where each name comes first, in the references' order: name, tid, start."""
+    first = F.min(F.struct("tid", "start")).alias("first")
+    return regions.groupBy("name").agg(first).select("name", "first.*")
+
+
 def region_counts(intervals: DataFrame, regions: DataFrame, *, samples: list[str], total_reads: DataFrame | None = None, strict: bool = False, compat: bool = False) -> DataFrame:
     """Every name for each of ``samples``: fwd, rev, counts, chrom, starts, stops, length, and per_position.
 

@@ -24,6 +24,8 @@ from tidespan.streaming.coverage import stream_coverage, with_sentinels
 
 QUALITY = InputOptions(min_mapq=10)
 SPAN = 5000
+#: 2024-01-01 in microseconds since 1970, and the seconds of the event axis.
+_EPOCH, _SECONDS = 1_704_067_200_000_000, 100_000_000
 LOW = 3
 
 
@@ -275,6 +277,22 @@ def streamed_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("sample string, tid int, start bigint, stop bigint, cov bigint").parquet(f"{base}/out").select("tid", "start", "stop", "cov")
 
 
+def events_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in progress at every second, per type: each lasts as many seconds as its value."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    start = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - _EPOCH) / 1_000_000)
+    known = spark.createDataFrame([(0, "time", _SECONDS)], "tid int, name string, length bigint")
+    rows = events.select(F.col("event_type").alias("sample"), F.lit(0).alias("flag"), F.lit(0).alias("tid"), start.alias("start"), (start + 1 + F.floor("value")).alias("stop"), F.lit(60).alias("mapq"), F.lit(0).cast("bigint").alias("isize"))
+    return coverage(read_intervals(rows, known), known).select("sample", "start", "stop", "cov")
+
+
+def events_hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """Tumbling windows of an hour over event time, as a stream would give them."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    grouped = events.groupBy("event_type", F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("largest"))
+    return grouped.select("event_type", F.col("window.start").cast("string").alias("hour"), "n", "largest")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -282,7 +300,7 @@ QUERIES = {
         region_stats_by_name, region_stats_pooled_low, region_stats_stranded, reference_stats, whole_reference_stats, _spans("max"), _spans("min"), _spans("mean"), span_mean_partial,
         region_counts_stranded, region_counts_strict, region_counts_compat, region_counts_paired, region_coords, region_rpkm, sample_counts_matrix,
         ref_counts, ref_counts_matrix, ref_cpm, report_matrix, mean_matrix_total, mean_by_reference, shared_low, shared_by_two, antitarget_gaps, target_bases, reads_in_target,
-        regions_from_attributes, n50_lengths, cigar_lengths, flag_profile, alignment_runs, alignment_region_counts, compare_sample_counts, streamed_coverage,
+        regions_from_attributes, n50_lengths, cigar_lengths, flag_profile, alignment_runs, alignment_region_counts, compare_sample_counts, events_coverage, events_hourly, streamed_coverage,
     )
 }
 
@@ -434,6 +452,11 @@ SELECT tid, CAST(pos AS BIGINT) AS start, CAST(coalesce(lead(pos) OVER w, length
     "alignment_region_counts": f"""WITH {_OWN},
 tg AS (SELECT DISTINCT region_id, r.tid, start, stop FROM regions g JOIN refs r ON g.chrom = r.name WHERE start < stop)
 SELECT region_id, count(*) AS counts FROM tg JOIN kn ON kn.tid = tg.tid AND kn.start < tg.stop AND tg.start < kn.stop GROUP BY region_id""",
+    "events_coverage": """WITH iv AS (SELECT event_type AS sample, greatest(s, 0) AS start, least(s + 1 + CAST(floor(value) AS BIGINT), 100000000) AS stop FROM (SELECT *, CAST(floor((epoch_us(ts) - 1704067200000000) / 1000000.0::DOUBLE) AS BIGINT) AS s FROM events)),
+net AS (SELECT sample, pos, sum(d) AS d FROM (SELECT sample, start AS pos, 1 AS d FROM iv WHERE start < stop UNION ALL SELECT sample, stop, -1 FROM iv WHERE start < stop UNION ALL SELECT DISTINCT sample, 0, 0 FROM iv WHERE start < stop) GROUP BY ALL),
+chg AS (SELECT * FROM net WHERE pos < 100000000 AND (pos = 0 OR d <> 0))
+SELECT sample, CAST(pos AS BIGINT) AS start, CAST(lead(pos, 1, 100000000) OVER w AS BIGINT) AS stop, CAST(sum(d) OVER w AS BIGINT) AS cov FROM chg WINDOW w AS (PARTITION BY sample ORDER BY pos)""",
+    "events_hourly": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, max(value) AS largest FROM events GROUP BY ALL",
     "compare_sample_counts": _with(_REFCO)
     + "SELECT a.name, a.counts AS left_value, b.counts AS right_value, b.counts - a.counts AS delta, CASE WHEN a.counts <> 0 THEN 100.0::DOUBLE * (b.counts - a.counts) / a.counts END AS percent FROM rc a JOIN rc b USING (name) WHERE a.sample = 'A' AND b.sample = 'R'",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
 from tidespan.functions.alignments import UNMAPPED, has_flag, reference_length, sample_name
-from tidespan.schema import ALIGNMENTS
+from tidespan.schema import ALIGNMENTS, REFS
 from tidespan.sources.regions import _lines, _number
 
 _COLUMNS = [c.split()[0] for c in ALIGNMENTS.split(", ")]
@@ -35,8 +35,20 @@ def read_sam(spark: SparkSession, path: str, refs: DataFrame | None = None) -> D
     The sample is the file's name up to its first dot. ``stop`` is the start plus the
     reference length of the CIGAR, at least one position for a placed read.
     """
-    refs = refs if refs is not None else read_sam_refs(spark, path)
-    data = _lines(spark, path).where(~F.col("line").startswith("@") & (F.col("line") != ""))
+    return parse_sam(_lines(spark, path), refs if refs is not None else read_sam_refs(spark, path))
+
+
+def stream_sam(spark: SparkSession, path: str, refs: DataFrame) -> DataFrame:
+    """The same as a stream of the files that come into a folder, for ``stream_coverage``."""
+    lines = spark.readStream.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+    # a dictionary of references is small, and a stream can't number the lines that it came from
+    fixed = spark.createDataFrame(refs.select("tid", "name", "length").collect(), REFS)
+    return parse_sam(lines, fixed)
+
+
+def parse_sam(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """Alignments from lines (``line``, ``file``); header lines and those of under 11 fields are left out."""
+    data = lines.where(~F.col("line").startswith("@") & (F.col("line") != ""))
     f = F.split("line", "\t")
     rows = data.where(F.size(f) >= 11).select(
         sample_name(F.col("file")).alias("sample"), f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (_number(f[3]) - 1).alias("start"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),

@@ -106,6 +106,12 @@ def sam_lines(reads: DataFrame, refs: DataFrame) -> DataFrame:
     return head.unionByName(rows.select(F.coalesce("tid", last).alias("o1"), F.col("start").alias("o2"), line.alias("value")))
 
 
+def in_region_order(lines: DataFrame, order: DataFrame) -> DataFrame:
+    """``report_lines`` or ``count_lines`` ordered as the regions come on the references (``name_order``), not by name."""
+    places = order.select(F.col("name").alias("o2"), F.col("tid").alias("place"), F.col("start").alias("within"))
+    return lines.join(places, "o2", "left").select("o1", F.coalesce("place", F.lit(-1)).alias("place"), F.coalesce("within", F.lit(-1).cast("bigint")).alias("within"), "o2", "value")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Writes text in order; the parts' names follow the order."""
     order = [c for c in lines.columns if c != "value"]
