@@ -248,7 +248,7 @@ def _partial(df: DataFrame, groups: list[str], value: Column, section: int, high
 
 
 def _merged(partial: DataFrame, groups: list[str], section: int, high: bool, shares: dict[str, float] | None) -> DataFrame:
-    splits = partial.rdd.getNumPartitions()
+    splits = _splits(partial)
     if splits > _FAN_IN:
         rounds = F.pmod(F.xxhash64("salt"), F.lit(max(2, math.isqrt(splits)))).cast("int")
         first = _merge_round(partial.select(*groups, rounds.alias("salt"), "raw", "sketch"), [*groups, "salt"], section, high, None)
@@ -256,6 +256,13 @@ def _merged(partial: DataFrame, groups: list[str], section: int, high: bool, sha
     return _merge_round(partial.select(*groups, "raw", "sketch"), groups, section, high, shares)
 
 
+def _splits(df: DataFrame) -> int:
+    """Partitions of ``df``, or those that a shuffle would give: finding out what one gave would run it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
 def _merge_round(partial: DataFrame, groups: list[str], section: int, high: bool, shares: dict[str, float] | None) -> DataFrame:
     """One sketch (or its percentiles) for each group of rows with ``raw`` values or a ``sketch``."""
     kinds = [partial.schema[g] for g in groups]
