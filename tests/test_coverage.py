@@ -14,6 +14,7 @@ from tidespan.operators.spans import fill_spans, span_summary
 from tidespan.operators.stats import clip_to_regions, count_reads, coverage_to_target, mapped_reads, region_coordinates, region_counts, region_stats
 from tidespan.operators.sweep import coverage
 from tidespan.options import InputOptions, OutputOptions
+from tidespan.plans import coverage as plans
 
 MINI_REFS = [(0, "seq1", 1000), (1, "seq2", 1000), (2, "seq0", 1000)]
 _COPIES = [(9, 109, 5), (189, 289, 2), (200, 300, 2), (250, 350, 2), (299, 399, 1), (379, 479, 1), (400, 500, 1), (650, 750, 1)]
@@ -228,3 +229,15 @@ def test_input_options(bad):
 def test_output_options(bad):
     with pytest.raises(ValueError):
         OutputOptions(**bad)
+
+
+def test_reads_in_target_of_every_reference(spark, monkeypatch):
+    tables = {
+        "alignments": reads(spark, [(0, 5, 20, 0), (1, 5, 20, 0), (1, 15, 30, 16), (1, 40, 50, 0), (2, 5, 20, 0)]),
+        "refs": refs(spark),
+        "regions": spark.createDataFrame([(0, 0, 10, "a"), (1, 10, 20, "b"), (1, 18, 25, "c"), (3, 0, 10, "d")], "tid int, start bigint, stop bigint, name string"),
+    }
+    for name, table in tables.items():
+        monkeypatch.setattr(plans, name, lambda spark, folder, table=table: table)
+    # the reference 2 has no target
+    assert rows(plans.reads_in_target(spark, "")) == [(0, 1), (1, 2)]

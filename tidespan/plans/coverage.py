@@ -196,8 +196,7 @@ def target_bases(spark: SparkSession, folder: str) -> DataFrame:
 def reads_in_target(spark: SparkSession, folder: str) -> DataFrame:
     """Reads of each reference that meet a region."""
     reads = _pooled(spark, folder).select("tid", "start", "stop", "reverse")
-    target = regions(spark, folder).where(F.col("tid") % 2 == 0)
-    return interval_join(reads, target, ["tid"], how="semi").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    return interval_join(reads, regions(spark, folder), ["tid"], how="semi").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def regions_from_attributes(spark: SparkSession, folder: str) -> DataFrame:
