@@ -241,3 +241,14 @@ def test_reads_in_target_of_every_reference(spark, monkeypatch):
         monkeypatch.setattr(plans, name, lambda spark, folder, table=table: table)
     # the reference 2 has no target
     assert rows(plans.reads_in_target(spark, "")) == [(0, 1), (1, 2)]
+
+
+def test_reads_with_a_null_bound_cover_nothing(spark):
+    known = refs(spark)
+    found = reads(spark, [(0, 10, None, 0), (0, None, 20, 0), (0, None, None, 0), (0, 30, 40, 16)])
+    assert rows(read_intervals(found, known), "start", "stop") == [(30, 40)]
+    assert rows(read_intervals(found, known, InputOptions(overhang="error")), "start", "stop") == [(30, 40)]
+    # the end that an option sets is known
+    assert rows(read_intervals(found, known, InputOptions(fragment_length=50)), "start", "stop") == [(10, 60), (30, 80)]
+    assert rows(read_intervals(found.withColumn("isize", F.lit(5)), known, InputOptions(physical=True)), "start", "stop") == [(10, 15), (30, 35)]
+    assert rows(coverage(read_intervals(found, known), known).where("cov > 0"), "tid", "start", "stop", "cov") == [(0, 30, 40, 1)]
