@@ -232,6 +232,26 @@ def test_held_out_cuts_are_found(spark):
     assert shares["limited"]["share"] > 0.85 and sum(r["n_texts"] for r in shares.values()) == 4000
 
 
+@pytest.mark.parametrize("copies", [1, 10, 1000])
+def test_copies_of_a_cut_text_are_no_witnesses(spark, copies):
+    data = _corpus(2000, 12)
+    cuts = {"long": "The river station records the small filter with gre", "short": "Our field team rec"}
+    # a short text in several sources may be a title
+    data += [(f"{k} {i}", text, f"s{i % 4}" if k == "long" else "s1", "en", "copy") for k, text in cuts.items() for i in range(copies)]
+    df = spark.createDataFrame([(str(i), *rest) for i, *rest in data], "id string, text string, source string, lang string, kind string").repartition(4)
+    found = {r["row_id"] for r in cut_texts(df, "id", "text", "source", "lang").collect()}
+    assert {i for i in found if " " in i} == {f"{k} {i}" for k in cuts for i in range(copies)}
+    # nor do they make others cut
+    by = {k: [str(i) for i, _, _, _, kind in data if kind == k] for k in ("whole", "unmarked", "title", "cut")}
+    share = {k: sum(i in found for i in v) / len(v) for k, v in by.items()}
+    assert share["whole"] == 0 and share["unmarked"] < 0.03 and share["title"] < 0.05 and share["cut"] > 0.9
+
+
+def test_copies_make_no_limit(spark):
+    df = spark.createDataFrame([("s", "A title")] * 1000 + [("s", f"{'x' * (i % 20)} {i % 7}") for i in range(60)], "source string, text string")
+    assert length_limits(df, "text", "source").collect() == []
+
+
 def test_odd_texts(spark):
     texts = [None, "", "  \n", "…", "\x00", "Done.", "Done.", "12.5", "x" * 100_000, "（完）。", "A cut te", "A cut te"]
     df = spark.createDataFrame([(i, t, None if i % 2 else "s", None, "x") for i, t in enumerate(texts)], "id bigint, text string, source string, lang string, tail string")

@@ -35,8 +35,6 @@ ORDERS = (2, 3, 4, 6, 9, *range(12, 33, 2))
 BACKOFF = 1.5
 #: Weight of an end without a final mark, which may be a cut, against one with it.
 WITNESS = 0.2
-#: Copies of a text longer than any context that count as one: it may have been cut once and copied then.
-COPIES = 4
 #: log2 of the bits of the bitmap of contexts.
 BITMAP = 24
 #: Occurrences by which a group's share of cut texts leans on that of the wider group.
@@ -216,10 +214,12 @@ def length_limits(df: DataFrame, text: str, source: str) -> DataFrame:
     """The length limits that the sources' histograms show: source, unit (``chars`` or ``bytes``), limit, n, by_chance.
 
     A limit is a length of at least LIMIT_COUNT texts, LIMIT_TIMES as many as the mean of the
-    20 lengths below, with at most a quarter as many longer texts.
+    20 lengths below, with at most a quarter as many longer texts. Copies of a text in a source
+    count as one.
     """
     whole = F.regexp_replace(F.col(text), "�+$", "")
-    lengths = df.where(F.length(text) > 1).select(F.col(source).cast("string").alias("source"), F.explode(F.create_map(F.lit("chars"), F.length(whole), F.lit("bytes"), F.octet_length(whole))).alias("unit", "size"))
+    different = df.where(F.length(text) > 1).groupBy(F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("same")).agg(F.first(F.length(whole)).alias("chars"), F.first(F.octet_length(whole)).alias("bytes"))
+    lengths = different.select("source", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "size"))
     by = Window.partitionBy("source", "unit").orderBy("size")
     counts = lengths.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
     near = counts.withColumn("below", F.coalesce(F.sum("n").over(by.rangeBetween(-20, -1)), F.lit(0)) / 20).withColumn("above", F.coalesce(F.sum("n").over(Window.partitionBy("source", "unit").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -228,8 +228,8 @@ def length_limits(df: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def _shares(scored: DataFrame, keys: list[str], prior: Column) -> DataFrame:
-    """The share of cut texts in each group of ``keys``, by expectation-maximisation over a histogram of the scores."""
-    binned = scored.groupBy(*keys, F.round(F.col("against") * 4).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first(prior).alias("prior"))
+    """The share of cut texts in each group of ``keys``, by expectation-maximisation over a histogram of the scores; copies of a text count as one."""
+    binned = scored.groupBy(*keys, F.round(F.col("against") * 4).cast("int").alias("bin")).agg(F.count_distinct("same").alias("n"), F.first(prior).alias("prior"))
     fields = [binned.schema[k] for k in keys]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -296,9 +296,10 @@ def _pile_up() -> Column:
 
 def _round(known: DataFrame, counted: DataFrame) -> DataFrame:
     """One round of scores: row_id, source, language, tail, at_limit, log_odds, threshold, probability (of a cut)."""
-    # the first copies of a text are one witness; a text is none for itself
-    texts = known.groupBy("same").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("n"), F.first("chars").alias("chars"), F.avg("weight").alias("weight"))
-    witnesses = F.when(F.col("chars") <= ORDERS[-1], F.col("n")).otherwise(1 + F.greatest(F.lit(0), F.col("n") - COPIES)) * F.col("weight")
+    # all copies of a text are one witness, as it may have been cut once and copied then; a text no longer than a context
+    # (a title, say) is one for each source that has it, at any number of copies; a text is none for itself
+    texts = known.groupBy("same").agg(F.first("contexts").alias("contexts"), F.count_distinct("source_key").alias("sources"), F.first("chars").alias("chars"), F.avg("weight").alias("weight"))
+    witnesses = F.when(F.col("chars") <= ORDERS[-1], F.col("sources")).otherwise(1) * F.col("weight")
     own = texts.select(F.explode("contexts").alias("h"), witnesses.alias("n")).groupBy("h").agg((WITNESS * F.greatest(F.lit(0.0), F.sum("n") - 1)).alias("others"))
     model = own.join(counted, "h", "left").select("h", (F.col("others") + F.coalesce("ends", F.lit(0))).alias("ends"), F.coalesce("goes_on", F.lit(0)).cast("double").alias("goes_on"))
     last = F.col("contexts")[len(ORDERS) - 1]
@@ -317,7 +318,7 @@ def _round(known: DataFrame, counted: DataFrame) -> DataFrame:
     p = F.greatest(F.lit(rare), F.least(F.lit(1 - rare), F.aggregate(chain, start, step)["p"]))
     log_odds = seen.groupBy("context").agg(F.log(p / (1 - p)).alias("log_odds"))
 
-    scored = durable(known.withColumn("context", last).join(log_odds, "context").drop("contexts", "context", "same", "chars").withColumn("against", F.col("usual") - F.col("log_odds")))
+    scored = durable(known.withColumn("context", last).join(log_odds, "context").drop("contexts", "context", "chars").withColumn("against", F.col("usual") - F.col("log_odds")))
     free = scored.where(~F.col("at_limit"))
     wide = _shares(free.withColumn("all", F.lit(0)), ["all"], F.lit(0.3)).withColumnRenamed("share", "wide")
     kind = _shares(free.withColumn("all", F.lit(0)).join(F.broadcast(wide), "all"), ["tail"], F.col("wide")).withColumnRenamed("share", "wide")
