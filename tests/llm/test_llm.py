@@ -247,6 +247,15 @@ def test_copies_of_a_cut_text_are_no_witnesses(spark, copies):
     assert share["whole"] == 0 and share["unmarked"] < 0.03 and share["title"] < 0.05 and share["cut"] > 0.9
 
 
+def test_null_and_repeated_ids_are_listed_as_often_as_they_come(spark):
+    rest = [(i, f"The old pump moves the empty crates {_sentence(random.Random(i))}.", "s", "en") for i in range(40)]
+    cut = "The night shift records the small fil"
+    data = [*rest, *[(50, cut, "s", "en")] * 3, (None, cut, "s", "en"), (None, "A careful clerk covers the fro", "t", "en")]
+    df = spark.createDataFrame(data, "id bigint, text string, source string, lang string")
+    assert rows(score_ends(df, "id", "text", "source", "lang"), "row_id", "source") == sorted([(50, "s")] * 3 + [(None, "s"), (None, "t")], key=repr)
+    assert all(r["n_cut"] <= r["n_texts"] for r in cut_shares(df, "id", "text", "source", "lang").collect())
+
+
 def test_copies_make_no_limit(spark):
     df = spark.createDataFrame([("s", "A title")] * 1000 + [("s", f"{'x' * (i % 20)} {i % 7}") for i in range(60)], "source string, text string")
     assert length_limits(df, "text", "source").collect() == []

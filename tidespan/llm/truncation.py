@@ -272,8 +272,9 @@ def score_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) ->
     )
     # texts that were cut are no witnesses of an end: what the first round finds weighs less in the second
     first = _round(known.withColumn("weight", F.lit(1.0)), counted)
-    whole = first.select("row_id", (1 - F.col("probability")).alias("weight"))
-    second = _round(durable(known.join(whole, "row_id").select(*known.columns, "weight")), counted)
+    # by text, as ids may be null or repeated
+    whole = first.groupBy("same").agg(F.avg(1 - F.col("probability")).alias("weight"))
+    second = _round(durable(known.join(whole, "same").select(*known.columns, "weight")), counted)
     return second.select("row_id", "source", "language", "tail", "at_limit", "log_odds", "threshold", (F.col("log_odds") < F.col("threshold")).alias("cut"))
 
 
@@ -295,7 +296,7 @@ def _pile_up() -> Column:
 
 
 def _round(known: DataFrame, counted: DataFrame) -> DataFrame:
-    """One round of scores: row_id, source, language, tail, at_limit, log_odds, threshold, probability (of a cut)."""
+    """One round of scores: row_id, same, source, language, tail, at_limit, log_odds, threshold, probability (of a cut)."""
     # all copies of a text are one witness, as it may have been cut once and copied then; a text no longer than a context
     # (a title, say) is one for each source that has it, at any number of copies; a text is none for itself
     texts = known.groupBy("same").agg(F.first("contexts").alias("contexts"), F.count_distinct("source_key").alias("sources"), F.first("chars").alias("chars"), F.avg("weight").alias("weight"))
@@ -327,7 +328,7 @@ def _round(known: DataFrame, counted: DataFrame) -> DataFrame:
     share = F.when(F.col("at_limit"), F.greatest(F.lit(0.5), F.least(F.lit(1 - 1e-4), F.col("pile_up")))).otherwise(F.col("share"))
     prior = F.log(share / (1 - share))
     odds = F.exp(F.col("against") + prior)
-    return scored.join(group, ["source_key", "tail"], "left").select("row_id", "source", "language", "tail", "at_limit", "log_odds", F.greatest(F.col("usual") + prior, F.lit(LEAST)).alias("threshold"), (odds / (1 + odds)).alias("probability"))
+    return scored.join(group, ["source_key", "tail"], "left").select("row_id", "same", "source", "language", "tail", "at_limit", "log_odds", F.greatest(F.col("usual") + prior, F.lit(LEAST)).alias("threshold"), (odds / (1 + odds)).alias("probability"))
 
 
 def cut_texts(df: DataFrame, row_id: str, text: str, source: str, lang: str) -> DataFrame:
