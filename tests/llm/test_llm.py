@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidespan.llm import plans
 from tidespan.llm.containers import fill_containers, fullest, plan_bins
 from tidespan.llm.quantiles import Sketch, merge_sketches, percentiles, rank_error, read_percentiles, sketch_groups
 from tidespan.llm.tokens import VOCABULARIES, Encoder, RankQueue, encode_texts, load_vocabulary, token_counts
@@ -130,6 +131,19 @@ def test_hot_group_in_many_splits(spark):
     assert found["hot"]["n"] == 100_000 and abs(found["hot"]["p50"] - 150_000) < 300_000 * rank_error() * 0.5 and abs(found["hot"]["p999"] - 299_700) < 10
 
 
+def test_both_tails_of_the_queries_keep_the_bound(spark, monkeypatch):
+    n = 200_000
+    value = F.col("id") * 7919 % n
+    data = spark.range(n, numPartitions=4).select(F.lit(None).cast("string").alias("sample"), F.lit("x").alias("name"), F.lit(1).alias("tid"), (F.col("id") % 3).alias("run_day"), value.cast("double").alias("bam_mean"), value.alias("forward"))
+    monkeypatch.setattr(plans, "_table", lambda spark, folder, name: data)
+    found = plans.p6_percentiles(spark, "").collect() + plans.p6_from_days(spark, "").collect()
+    assert len(found) == 3
+    for r in found:
+        assert (r["n"], r["least"], r["greatest"]) == (n, 0, n - 1)
+        for k, share in plans.SHARES.items():
+            assert abs(r[k] - (share * n - 1)) <= rank_error() * min(share, 1 - share) * n + 1
+
+
 # containers
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from tidespan.llm.truncation import cut_shares, cut_texts
 #: Tokens of a container.
 CAPACITY = 2048
 SHARES = {"p01": 0.01, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+_LOW, _HIGH = {k: q for k, q in SHARES.items() if q < 0.5}, {k: q for k, q in SHARES.items() if q >= 0.5}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,17 +32,26 @@ def _measured(column: str) -> Column:
     return F.when(F.col(column) != -1, F.col(column))
 
 
+def _both_tails(groups: list[str], read: Callable[[dict[str, float], bool], DataFrame]) -> DataFrame:
+    """The shares below 0.5 from sketches that protect the smallest values, the others from those that protect the largest."""
+    low = read(_LOW, False).select(*(F.col(g).alias(f"low_{g}") for g in groups), *_LOW)
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"low_{g}")) for g in groups))
+    return read(_HIGH, True).join(low, same)
+
+
 def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of bam_mean per sample and name and of forward per sample and tid, over all rows."""
-    means = percentiles(_table(spark, folder, "stats"), ["sample", "name"], _measured("bam_mean"), SHARES)
-    depths = percentiles(_table(spark, folder, "coverage"), ["sample", "tid"], _measured("forward"), SHARES)
+    stats, pieces = _table(spark, folder, "stats"), _table(spark, folder, "coverage")
+    means = _both_tails(["sample", "name"], lambda shares, high: percentiles(stats, ["sample", "name"], _measured("bam_mean"), shares, high=high))
+    depths = _both_tails(["sample", "tid"], lambda shares, high: percentiles(pieces, ["sample", "tid"], _measured("forward"), shares, high=high))
     return _labelled(means, "bam_mean", "name").unionByName(_labelled(depths, "forward", "tid"))
 
 
 def p6_from_days(spark: SparkSession, folder: str) -> DataFrame:
     """The same for forward, from the sketches of single run_days."""
-    days = sketch_groups(_table(spark, folder, "coverage"), ["run_day", "sample", "tid"], _measured("forward"))
-    return _labelled(read_percentiles(days, ["sample", "tid"], SHARES), "forward", "tid")
+    pieces = _table(spark, folder, "coverage")
+    days = {high: sketch_groups(pieces, ["run_day", "sample", "tid"], _measured("forward"), high=high) for high in (False, True)}
+    return _labelled(_both_tails(["sample", "tid"], lambda shares, high: read_percentiles(days[high], ["sample", "tid"], shares, high=high)), "forward", "tid")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
