@@ -252,3 +252,11 @@ def test_reads_with_a_null_bound_cover_nothing(spark):
     assert rows(read_intervals(found, known, InputOptions(fragment_length=50)), "start", "stop") == [(10, 60), (30, 80)]
     assert rows(read_intervals(found.withColumn("isize", F.lit(5)), known, InputOptions(physical=True)), "start", "stop") == [(10, 15), (30, 35)]
     assert rows(coverage(read_intervals(found, known), known).where("cov > 0"), "tid", "start", "stop", "cov") == [(0, 30, 40, 1)]
+
+
+def test_required_order_of_reads(spark):
+    known, options = refs(spark), InputOptions(require_sorted="at")
+    found = reads(spark, [(0, 10, 20, 0), (0, 30, 40, 0), (1, 5, 15, 0)]).withColumn("at", F.col("tid") * 100 + F.col("start"))
+    assert rows(read_intervals(found, known, options), "tid", "start") == [(0, 10), (0, 30), (1, 5)]
+    with pytest.raises(Exception, match="coverage went backwards"):
+        read_intervals(found.withColumn("at", -F.col("at")), known, options).collect()

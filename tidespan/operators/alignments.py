@@ -35,6 +35,8 @@ def read_intervals(alignments: DataFrame, refs: DataFrame, options: InputOptions
         stop = F.col("start") + options.fragment_length
     # greatest and least skip nulls
     kept = kept.where(F.col("start").isNotNull() & stop.isNotNull())
+    if options.require_sorted:
+        kept = assert_sorted(kept, options.require_sorted)
     known = refs.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.max("length").alias("length"))
     out = kept.select("sample", "tid", F.greatest(F.col("start"), F.lit(0)).alias("start"), stop.alias("stop"), is_reverse(F.col("flag")).alias("reverse")).join(known, "tid")
     end = F.least(F.col("stop"), F.col("length"))

@@ -16,7 +16,8 @@ class InputOptions:
     ``physical``: the fragment of a pair instead of the read; ``fragment_length``: the end is
     start plus this many positions, whatever the read's own length (0: the read's end);
     ``overhang``: ``clamp`` cuts reads at the reference's end, ``error`` raises on them;
-    ``require_sorted``: raise on a read that starts before its predecessor in the table's order.
+    ``require_sorted``: the column that holds the table's order; raise on a read that counts and
+    starts before its predecessor in it.
     """
 
     min_mapq: int = 0
@@ -24,6 +25,7 @@ class InputOptions:
     physical: bool = False
     fragment_length: int = 0
     overhang: str = "clamp"
+    require_sorted: str | None = None
 
     def __post_init__(self):
         if not 0 <= self.min_mapq <= 255:
