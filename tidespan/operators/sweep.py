@@ -12,15 +12,13 @@ before they are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.functions.regions import Bands
 
 #: Positions of a tile.
 TILE = 1 << 20
-#: References whose zero rows are made without a join.
-MOST_REFS = 1_000_000
 
 
 def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, samples: list[str] | None = None, bands: str | None = None, tile: int = TILE) -> DataFrame:
@@ -36,23 +34,15 @@ def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, s
     """
     # as a struct, a null sample joins by plain equality, which keeps the tiles where they are
     keys = ["group", "tid"]
-    intervals = intervals.withColumn("group", F.struct("sample"))
-    reverse = F.col("reverse")
-    change = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d"))))
-    events = intervals.where(F.col("start") < F.col("stop")).select(*keys, "reverse", "length", change.alias("e")).select(*keys, F.col("e.pos").alias("pos"), F.when(reverse, 0).otherwise(F.col("e.d")).cast("bigint").alias("df"), F.when(reverse, F.col("e.d")).otherwise(0).cast("bigint").alias("dr"), "length")
-    events = events.where(F.col("pos") < F.col("length")).drop("length")
-    lengths = refs.where(F.col("length") > 0).select("tid", "length").limit(MOST_REFS + 1).collect()
-    if len(lengths) > MOST_REFS:
-        raise ValueError("too many references")
-    known = intervals.select("sample").distinct() if samples is None else refs.sparkSession.createDataFrame([(s,) for s in samples], "sample string")
-    origin = F.explode(F.from_json(F.lit("[" + ",".join(f"[{r['tid']}]" for r in lengths) + "]"), "array<array<int>>"))
-    zeros = known.select(F.struct("sample").alias("group"), origin.alias("t")).select("group", F.col("t")[0].alias("tid"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("df"), F.lit(0).cast("bigint").alias("dr"))
-    changes = events.unionByName(zeros).groupBy(*keys, "pos").agg(F.sum("df").alias("df"), F.sum("dr").alias("dr"))
-    moved = (F.col("df") != 0) | (F.col("dr") != 0) if stranded else (F.col("df") + F.col("dr")) != 0
-    changes = changes.where(moved | (F.col("pos") == 0))
-
-    longest = max((r["length"] for r in lengths), default=0)
+    if samples is None:
+        # as many as there are files, whatever their rows
+        samples = [r["sample"] for r in intervals.select("sample").distinct().collect()]
+    known = refs.where(F.col("length") > 0).groupBy("tid").agg(F.max("length").alias("length"))
+    longest = known.agg(F.max("length")).first()[0] or 0
     tiles = tile if longest > tile else None
+    changes = _changes(intervals, known, samples, keys)
+    moved = (F.col("df") != 0) | (F.col("dr") != 0) if stranded else (F.col("df") + F.col("dr")) != 0
+    changes = changes.where(moved | F.col("edge"))
     depth = _running(changes, keys, ["df", "dr"], tiles)
     fwd, rev = F.col("df_sum"), F.col("dr_sum")
     if bands is None:
@@ -62,11 +52,31 @@ def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, s
         before_f, before_r = fwd - F.col("df"), rev - F.col("dr")
         values = [("band_fwd", cut.label(fwd)), ("band_rev", cut.label(rev))] if stranded else [("band", cut.label(fwd + rev))]
         was = [cut.label(before_f), cut.label(before_r)] if stranded else [cut.label(before_f + before_r)]
-        other = F.col("pos") == 0
+        other = F.col("edge")
         for (_, now), then in zip(values, was):
             other = other | (now != then)
         depth = depth.where(other)
-    return _with_stops(depth.select(*keys, "pos", *(["tile"] if tiles else []), *(["later"] if tiles and bands is None else []), *(v.alias(k) for k, v in values)), refs, keys, [k for k, _ in values], tiles)
+    return _with_stops(depth.select(*keys, "pos", *(["tile"] if tiles else []), *(["later"] if tiles and bands is None else []), *(v.alias(k) for k, v in values)), keys, [k for k, _ in values], tiles)
+
+
+def _changes(intervals: DataFrame, known: DataFrame, samples: list[str | None], keys: list[str]) -> DataFrame:
+    """The net change of either strand at each position: ``keys``, pos, df, dr, and whether the position is an ``edge``.
+
+    Every reference has an edge at 0 and one at its length, where its last run closes. The
+    positions are summed before they are shuffled, by position; the tiles' own shuffle comes
+    after it with one row a position, as Spark has no shuffle by tile between the two halves
+    of an aggregation by position.
+    """
+    inside = intervals.where((F.col("start") < F.col("stop")) & (F.col("start") < F.col("length")))
+    none, one, less = (F.lit(x).cast("bigint") for x in (0, 1, -1))
+    stop, back = F.least("stop", "length"), F.col("reverse")
+    ends = F.array(F.struct(F.col("start").alias("pos"), one.alias("d")), F.struct(stop.alias("pos"), less.alias("d")))
+    events = inside.select(F.struct("sample").alias("group"), "tid", back.alias("back"), F.inline(ends))
+    events = events.select(*keys, "pos", F.when(F.col("back"), none).otherwise(F.col("d")).alias("df"), F.when(F.col("back"), F.col("d")).otherwise(none).alias("dr"), F.lit(False).alias("edge"))
+    listed = F.array(*(F.struct(F.lit(s).cast("string").alias("sample")) for s in samples)) if samples else F.array().cast("array<struct<sample:string>>")
+    edges = known.select("tid", F.explode(F.array(none, F.col("length"))).alias("pos"))
+    edges = edges.select(F.explode(listed).alias("group"), "tid", "pos", none.alias("df"), none.alias("dr"), F.lit(True).alias("edge"))
+    return events.unionByName(edges).groupBy(*keys, "pos").agg(F.sum("df").alias("df"), F.sum("dr").alias("dr"), F.max("edge").alias("edge"))
 
 
 def _running(changes: DataFrame, keys: list[str], sums: list[str], tile: int | None) -> DataFrame:
@@ -81,7 +91,7 @@ def _running(changes: DataFrame, keys: list[str], sums: list[str], tile: int | N
     later = F.lead("first").over(Window.partitionBy(*keys).orderBy("tile")).alias("later")
     carried = carried.select(*keys, "tile", later, *(F.coalesce(F.sum(f"{c}_tile").over(before), F.lit(0)).alias(f"{c}_carry") for c in sums))
     inner = tiled.select("*", *(F.sum(c).over(by).alias(f"{c}_in") for c in sums))
-    return _join_tiles(inner, carried, keys).select(*keys, "tile", "pos", "later", *sums, *((F.col(f"{c}_in") + F.col(f"{c}_carry")).alias(f"{c}_sum") for c in sums))
+    return _join_tiles(inner, carried, keys).select(*keys, "tile", "pos", "edge", "later", *sums, *((F.col(f"{c}_in") + F.col(f"{c}_carry")).alias(f"{c}_sum") for c in sums))
 
 
 def _join_tiles(rows: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,8 +100,8 @@ def _join_tiles(rows: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame
     return rows.alias("r").join(tiles.alias("t"), on).select("r.*", *(f"t.{c}" for c in tiles.columns if c not in (*keys, "tile")))
 
 
-def _with_stops(runs: DataFrame, refs: DataFrame, keys: list[str], values: list[str], tile: int | None) -> DataFrame:
-    """Each run stops where the next of its reference begins, the last at the reference's end."""
+def _with_stops(runs: DataFrame, keys: list[str], values: list[str], tile: int | None) -> DataFrame:
+    """Each run stops where the next of its reference begins; the edge at the reference's end begins none."""
     by = Window.partitionBy(*keys, *(["tile"] if tile else [])).orderBy("pos")
     following = F.lead("pos").over(by)
     if "later" in runs.columns:
@@ -102,19 +112,27 @@ def _with_stops(runs: DataFrame, refs: DataFrame, keys: list[str], values: list[
         runs = _join_tiles(runs.withColumn("next", following), later, keys).withColumn("next", F.coalesce("next", "later"))
     else:
         runs = runs.withColumn("next", following)
-    known = refs.groupBy("tid").agg(F.max("length").alias("length"))
-    return runs.join(known, "tid").select("group.sample", "tid", F.col("pos").alias("start"), F.coalesce("next", "length").alias("stop"), *values)
+    return runs.where(F.col("next").isNotNull()).select("group.sample", "tid", F.col("pos").alias("start"), F.col("next").alias("stop"), *values)
 
 
-def merge_equal_runs(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Fuses adjacent runs with equal ``values``; for runs that weren't made by ``coverage``."""
-    by = Window.partitionBy(*keys).orderBy("start", "stop")
-    same = F.lag("stop").over(by) == F.col("start")
-    for v in values:
-        same = same & F.lag(v).over(by).eqNullSafe(F.col(v))
-    islands = runs.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("island", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(by))
-    return islands.groupBy(*keys, "island", *values).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(*keys, "start", "stop", *values)
+def merge_equal_runs(runs: DataFrame, keys: list[str], values: list[str], *, tile: int = TILE) -> DataFrame:
+    """Fuses adjacent runs with equal ``values``; for runs that weren't made by ``coverage``.
 
-
-def strand_total(stranded: DataFrame) -> Column:
-    return F.col("fwd") + F.col("rev")
+    A run is compared with its neighbour within a tile of the axis; a tile's first run looks
+    at the last of the tile before it through a table of one row a tile. The islands are
+    numbered the same way, so no reference is one task's work.
+    """
+    tiled = runs.select(F.struct(*keys).alias("group"), F.expr(f"start div {tile}").alias("tile"), "start", "stop", F.struct(*values).alias("value"))
+    by = Window.partitionBy("group", "tile").orderBy("start", "stop")
+    last = F.struct("stop", "value")
+    tops = tiled.groupBy("group", "tile").agg(F.max(F.struct("start", "stop", "value")).alias("top"))
+    over = Window.partitionBy("group").orderBy("tile")
+    before = tops.select("group", "tile", F.lag(F.struct("top.stop", "top.value")).over(over).alias("before"))
+    seen = _join_tiles(tiled.withColumn("own", F.lag(last).over(by)), before, ["group"]).withColumn("last", F.coalesce("own", "before"))
+    same = (F.col("last.stop") == F.col("start")) & F.col("last.value").eqNullSafe(F.col("value"))
+    fresh = seen.withColumn("fresh", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    numbered = fresh.withColumn("inner", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = fresh.groupBy("group", "tile").agg(F.sum("fresh").alias("n")).select("group", "tile", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"))
+    islands = _join_tiles(numbered, carried, ["group"]).withColumn("island", F.col("inner") + F.col("carry"))
+    out = islands.groupBy("group", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("value").alias("value"))
+    return out.select(*(F.col(f"group.{k}").alias(k) for k in keys), "start", "stop", *(F.col(f"value.{v}").alias(v) for v in values))
