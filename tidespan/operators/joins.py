@@ -1,26 +1,47 @@
 """Interval joins as equi-joins on bins.
 
-Both sides are spread over the bins they touch; a pair is kept in the first bin that both
-touch, so it comes out once. The bin width follows the lengths of the right side.
+Right intervals lie in bins about as wide as they are long, in a few classes of width, so that
+a giant doesn't widen the bins of the others. A pair is kept in the first bin that both touch,
+so it comes out once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Narrowest and widest bins, and the bins that the longest right interval may touch.
-_NARROW, _WIDE, _MOST = 1 << 7, 1 << 26, 1 << 10
+#: The narrowest and widest bins in powers of two, and the powers from one class to the next.
+_NARROW, _WIDE, _STEP = 7, 41, 2
+#: A class with at most so many times the intervals of the next wider one isn't worth another look by every left row.
+_MERGE = 4
+#: Classes of left intervals in a semi-join.
+_LOOKS = (14, 20, 26, 32, 41)
+
+
+def _bits(start: Column, stop: Column) -> Column:
+    """The least power of two that is longer than the interval."""
+    return F.length(F.bin(F.greatest(stop - start, F.lit(0))))
 
 
-def bin_width(regions: DataFrame) -> int:
-    """A power of two of about twice the median length."""
-    length = F.col("stop") - F.col("start")
-    row = regions.agg(F.percentile_approx(length, 0.5).alias("median"), F.max(length).alias("longest")).first()
-    if row["median"] is None:
-        return _NARROW
-    wanted = max(2 * row["median"], row["longest"] // _MOST, 1)
-    return min(_WIDE, max(_NARROW, 1 << (wanted - 1).bit_length()))
+def bin_classes(regions: DataFrame) -> list[int]:
+    """The classes of bins for ``regions``, as powers of two in order: one or a few."""
+    level = F.lit(_NARROW) + F.greatest(F.lit(0), F.ceil((_bits(F.col("start"), F.col("stop")) - _NARROW) / _STEP)).cast("int") * _STEP
+    counts = {r["level"]: r["n"] for r in regions.where(F.col("start") <= F.col("stop")).groupBy(F.least(level, F.lit(_WIDE)).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    present, kept = sorted(counts), []
+    for this, wider in zip(present, [*present[1:], None]):
+        if wider is not None and counts[this] <= _MERGE * counts[wider]:
+            counts[wider] += counts[this]
+        else:
+            kept.append(this)
+    return kept or [_NARROW]
+
+
+def _bins(size: Column, stop: Column) -> Column:
+    """The bins of ``size`` positions from ``start`` to ``stop``, included."""
+    first, last = F.floor(F.col("start") / size).cast("bigint"), F.floor(stop / size).cast("bigint")
+    return F.when(first <= last, F.sequence(first, last))
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: int | None = None, touching: bool = False, how: str = "inner") -> DataFrame:
@@ -32,26 +53,53 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: in
     only a bound meet too, and so do empty ones. ``how``: ``inner``, or ``semi`` for the left
     rows with a partner, each once. Empty intervals overlap nothing; nulls in ``on`` or a bound
     match nothing; repeated rows each match.
+
+    ``width`` (default: by the right side's lengths) is the width of all bins.
     """
-    width = width or bin_width(right)
-    if how == "semi":
-        numbered = left.withColumn("__row", F.monotonically_increasing_id())
-        hit = interval_join(numbered.select(*on, "start", "stop", "__row"), right.select(*on, "start", "stop"), on, width=width, touching=touching)
-        return numbered.join(hit.select("__row").distinct(), "__row", "left_semi").drop("__row")
-    last = (lambda stop: stop) if touching else (lambda stop: stop - 1)
+    if not touching:
+        left, right = (df.where(F.col("start") < F.col("stop")) for df in (left, right))
+    end = F.col("stop") if touching else F.col("stop") - 1
     meet = (lambda a, b: a <= b) if touching else (lambda a, b: a < b)
-
-    def spread(df: DataFrame) -> DataFrame:
-        if not touching:
-            df = df.where(F.col("start") < F.col("stop"))
-        first_bin, last_bin = F.floor(F.col("start") / width).cast("bigint"), F.floor(last(F.col("stop")) / width).cast("bigint")
-        return df.withColumn("__bin", F.explode(F.when(first_bin <= last_bin, F.sequence(first_bin, last_bin))))
-
     names = {c: f"right_{c}" if c in left.columns and c not in on else c for c in right.columns}
-    r = spread(right).select(*on, "__bin", *(F.col(c).alias(names[c]) for c in right.columns if c not in on))
-    pairs = spread(left).join(r, [*on, "__bin"])
-    first = F.floor(F.greatest(F.col("start"), F.col("right_start")) / width).cast("bigint")
-    return pairs.where(meet(F.col("start"), F.col("right_stop")) & meet(F.col("right_start"), F.col("stop")) & (first == F.col("__bin"))).drop("__bin")
+    if how == "semi":
+        return _semi(left, right, on, end, meet)
+    if width is not None:
+        sizes = [width]
+        own = F.lit(width).cast("bigint")
+    else:
+        sizes = [1 << k for k in bin_classes(right)]
+        own = F.lit(sizes[-1])
+        for size in reversed(sizes[:-1]):
+            own = F.when(F.col("stop") - F.col("start") < size, F.lit(size)).otherwise(own)
+    r = right.withColumn("__size", own.cast("bigint")).withColumn("__bin", F.explode(_bins(F.col("__size"), end)))
+    r = r.select(*on, "__size", "__bin", *(F.col(c).alias(names[c]) for c in right.columns if c not in on))
+    looks = F.array(*(F.lit(size).cast("bigint") for size in sizes))
+    spread = left.withColumn("__size", F.explode(looks)).withColumn("__bin", F.explode(_bins(F.col("__size"), end)))
+    first = F.floor(F.greatest("start", "right_start") / F.col("__size")).cast("bigint")
+    pairs = spread.join(r, [*on, "__size", "__bin"])
+    return pairs.where(meet(F.col("start"), F.col("right_stop")) & meet(F.col("right_start"), F.col("stop")) & (first == F.col("__bin"))).drop("__size", "__bin")
+
+
+def _semi(left: DataFrame, right: DataFrame, on: list[str], end: Column, meet: Callable[[Column, Column], Column]) -> DataFrame:
+    """Left rows that meet the right side.
+
+    A left row reaches from its first bin, of a class at least as wide as it is long, into
+    the next at most. It asks in its first bin only, and right intervals also lie in the bin
+    before their own; so each left row is one row throughout and none needs a number.
+    """
+    bits = _bits(F.col("start"), F.col("stop"))
+    size = F.lit(1 << _LOOKS[-1])
+    for k in reversed(_LOOKS[:-1]):
+        size = F.when(bits <= k, F.lit(1 << k).cast("bigint")).otherwise(size)
+    asks = left.withColumn("__size", size.cast("bigint"))
+    asks = asks.withColumn("__bin", F.floor(F.col("start") / F.col("__size")).cast("bigint"))
+    own = right.select(*on, "start", "stop", F.explode(F.array(*(F.lit(1 << k).cast("bigint") for k in _LOOKS))).alias("__size"))
+    first, last = F.floor(F.col("start") / F.col("__size")).cast("bigint") - 1, F.floor(end / F.col("__size")).cast("bigint")
+    own = own.where(end >= F.col("start") - 1).select(*on, "start", "stop", "__size", F.explode(F.sequence(first, last)).alias("__bin"))
+    l, r = asks.alias("l"), own.alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*on, "__size", "__bin")]
+    overlap = meet(F.col("l.start"), F.col("r.stop")) & meet(F.col("r.start"), F.col("l.stop"))
+    return l.join(r, [*same, overlap], "left_semi").drop("__size", "__bin")
 
 
 def strictly_meets(start: Column, stop: Column, region_start: Column, region_stop: Column) -> Column:
