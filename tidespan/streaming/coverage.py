@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidespan.operators.spans import spread_spans
+from tidespan.options import SPAN_FUNCTIONS
+
 _RESULT = "sample string, tid int, start bigint, stop bigint, cov bigint"
 _STATE = "position bigint, run_start bigint, depth bigint, held_start bigint, held_depth bigint, ends array<bigint>"
 
@@ -73,10 +76,17 @@ def with_sentinels(intervals: DataFrame, refs: DataFrame, samples: list[str]) ->
     return intervals.select("sample", "tid", "start", "stop", "length").unionByName(ends)
 
 
-def stream_spans(runs: DataFrame, span: int) -> DataFrame:
-    """Greatest depth per span of a stream of runs (an update-mode aggregation)."""
-    spread = runs.select("sample", "tid", "cov", F.explode(F.sequence(F.expr(f"start div {span}"), F.expr(f"(stop - 1) div {span}"))).alias("span"))
-    return spread.groupBy("sample", "tid", "span").agg(F.max("cov").alias("cov"))
+def stream_spans(runs: DataFrame, span: int, op: str = "max") -> DataFrame:
+    """Depth per span of a stream of runs (an aggregation for update or complete mode): sample, tid, span, cov.
+
+    ``op`` is ``max``, ``min`` or ``mean``; a mean divides by ``span``.
+    """
+    if op not in SPAN_FUNCTIONS:
+        raise ValueError(f"op is one of {', '.join(SPAN_FUNCTIONS)}")
+    spread = spread_spans(runs.where(F.col("start") < F.col("stop")).select("sample", "tid", "start", "stop", "cov", F.expr(f"start div {span}").alias("first"), F.expr(f"(stop - 1) div {span}").alias("last")))
+    part = F.least("stop", (F.col("span") + 1) * span) - F.greatest("start", F.col("span") * span)
+    depth = {"max": F.max("cov"), "min": F.min("cov"), "mean": F.sum(F.col("cov") * part).cast("double") / float(span)}[op]
+    return spread.groupBy("sample", "tid", "span").agg(depth.alias("cov"))
 
 
 def stream_to_regions(runs: DataFrame, regions: DataFrame) -> DataFrame:
