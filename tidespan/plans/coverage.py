@@ -364,7 +364,7 @@ def _per_sample(value: str) -> str:
 
 
 _OWN = """kn AS (SELECT DISTINCT aln_id, chrom AS tid, start, least(stop, r.length) AS stop, flag & 16 <> 0 AS reverse FROM alignments a JOIN refs r ON a.chrom = r.tid
-  WHERE flag & 1796 = 0 AND chrom >= 0 AND start < least(stop, r.length))"""
+  WHERE flag & 1796 = 0 AND chrom >= 0 AND start IS NOT NULL AND stop IS NOT NULL AND start < least(stop, r.length))"""
 
 SQL = {
     "coverage_runs": _RUNS,
@@ -437,7 +437,7 @@ FROM co JOIN (SELECT pooled AS name, sum(stop - start) AS length FROM reg GROUP
     + """SELECT g.pooled AS name, CAST(sum(u.cov * (least(u.stop, g.stop) - greatest(u.start, g.start))) AS BIGINT) AS bases, any_value(l.length) AS length,
   CAST(sum(u.cov * (least(u.stop, g.stop) - greatest(u.start, g.start))) AS DOUBLE) / CAST(any_value(l.length) AS DOUBLE) AS per_position
 FROM runs u JOIN reg g ON u.tid = g.tid AND u.start < g.stop AND g.start < u.stop JOIN (SELECT pooled, CAST(sum(stop - start) AS BIGINT) AS length FROM reg GROUP BY pooled) l ON l.pooled = g.pooled GROUP BY g.pooled""",
-    "reads_in_target": _with(_kept()) + "SELECT tid, count(*) AS n FROM kept k WHERE EXISTS (SELECT 1 FROM reg g WHERE g.tid % 2 = 0 AND g.tid = k.tid AND k.start < g.stop AND g.start < k.stop) GROUP BY tid",
+    "reads_in_target": _with(_kept()) + "SELECT tid, count(*) AS n FROM kept k WHERE EXISTS (SELECT 1 FROM reg g WHERE g.tid = k.tid AND k.start < g.stop AND g.start < k.stop) GROUP BY tid",
     "regions_from_attributes": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'part_' || p_partkey AS gff_name, p_name AS gtf_name, 'chr' || p_partkey % 25 || ':' || p_partkey * 7919 % 250000 || '-' || (p_partkey * 7919 % 250000 + 200) AS made_name FROM part",
     "n50_lengths": _with(_kept(), "h AS (SELECT stop - start AS length, count(*) AS n FROM kept GROUP BY 1)", "c AS (SELECT *, sum(length * n) OVER (ORDER BY length DESC) AS cum, sum(length * n) OVER () AS total FROM h)")
     + "SELECT CAST(sum(n) AS BIGINT) AS n, CAST(any_value(total) AS BIGINT) AS total, max(length) AS longest, max(length) FILTER (WHERE 2 * cum > total) AS n50 FROM c",
