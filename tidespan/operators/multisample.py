@@ -57,7 +57,7 @@ def shared_low_coverage(runs: DataFrame, refs: DataFrame, low: int, high: int, n
     """
     needed = max(1, math.ceil(share * n_samples - 1e-9))
     chosen = depth_band(runs, low, high).select(F.lit(None).cast("string").alias("sample"), "tid", "start", "stop", F.lit(False).alias("reverse")).join(refs.select("tid", "length"), "tid")
-    depth = coverage(chosen, refs, samples=None, tile=tile)
+    depth = coverage(chosen, refs, samples=[None], tile=tile)
     return depth.where(F.col("cov") >= needed).select("tid", "start", "stop", F.col("cov").alias("n"))
 
 
@@ -71,7 +71,7 @@ def intersect_samples(intervals: DataFrame, refs: DataFrame, at_least: int, *, t
 
     own = merge_intervals(intervals, ["sample", "tid"]).where("kind = 'period'")
     events = own.select(F.lit(None).cast("string").alias("sample"), "tid", "start", "stop", F.lit(False).alias("reverse")).join(refs.select("tid", "length"), "tid")
-    return coverage(events, refs, tile=tile).where(F.col("cov") >= at_least).select("tid", "start", "stop", F.col("cov").alias("n"))
+    return coverage(events, refs, samples=[None], tile=tile).where(F.col("cov") >= at_least).select("tid", "start", "stop", F.col("cov").alias("n"))
 
 
 def antitarget(regions: DataFrame, refs: DataFrame, *, tile: int = TILE) -> DataFrame:

@@ -18,7 +18,7 @@ from tidespan.operators.spans import fill_spans, span_summary
 from tidespan.operators.stats import clip_to_regions, count_refs, coverage_to_target, mapped_reads, ref_stats, region_counts, region_stats, total_reads
 from tidespan.operators.sweep import coverage
 from tidespan.options import InputOptions
-from tidespan.plans.testdata import REF_LENGTH, SAMPLES, alignments, refs, regions
+from tidespan.plans.testdata import REF_LENGTH, SAMPLES, alignments, refs, regions, table
 from tidespan.plans.testdata import SQL as TABLES
 from tidespan.streaming.coverage import stream_coverage, with_sentinels
 
@@ -200,7 +200,7 @@ def reads_in_target(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def regions_from_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    part = spark.read.parquet(f"{folder}/part.parquet")
+    part = table(spark, folder, "part")
     key = F.col("p_partkey").cast("string")
     gff = F.concat(F.lit("Parent=x"), key, F.lit(";ID=part_"), key, F.lit(";Name="), "p_name")
     gtf = F.concat(F.lit('transcript_id "t'), key, F.lit('"; gene_id "'), "p_name", F.lit('";'))
@@ -219,30 +219,30 @@ def n50_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 def cigar_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths by CIGAR of the alignments table against its own bounds."""
-    rows = spark.read.parquet(f"{folder}/alignments.parquet")
+    rows = table(spark, folder, "alignments")
     return rows.select("aln_id", reference_length(F.col("cigar")).alias("reference_length"), query_length(F.col("cigar")).alias("query_length")).distinct()
 
 
 def flag_profile(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/alignments.parquet")
+    rows = table(spark, folder, "alignments")
     bits = {"paired": 1, "proper": 2, "unmapped": 4, "reverse": 16, "read1": 64, "read2": 128, "secondary": 256, "failed": 512, "duplicate": 1024}
     return rows.groupBy("sample").agg(*(F.sum(F.when(has_flag(F.col("flag"), b), 1).otherwise(0)).alias(k) for k, b in bits.items()))
 
 
 def alignment_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Depth of the alignments table itself, per sample over every reference."""
-    known = spark.read.parquet(f"{folder}/refs.parquet")
-    rows = spark.read.parquet(f"{folder}/alignments.parquet").withColumnRenamed("chrom", "tid")
+    known = table(spark, folder, "refs")
+    rows = table(spark, folder, "alignments").withColumnRenamed("chrom", "tid")
     found = read_intervals(rows.dropDuplicates(["aln_id"]).select("sample", "flag", "tid", "start", "stop", "mapq", "isize"), known)
     return coverage(found.withColumn("sample", F.lit("all")), known, samples=["all"]).select("tid", "start", "stop", "cov")
 
 
 def alignment_region_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Reads of the alignments table on each region of the regions table, by region id."""
-    known = spark.read.parquet(f"{folder}/refs.parquet")
-    rows = spark.read.parquet(f"{folder}/alignments.parquet").withColumnRenamed("chrom", "tid")
+    known = table(spark, folder, "refs")
+    rows = table(spark, folder, "alignments").withColumnRenamed("chrom", "tid")
     found = read_intervals(rows.dropDuplicates(["aln_id"]).select("sample", "flag", "tid", "start", "stop", "mapq", "isize"), known)
-    target = spark.read.parquet(f"{folder}/regions.parquet").where("start < stop").join(known.select("tid", F.col("name").alias("chrom")), "chrom").select("region_id", "tid", "start", "stop").distinct()
+    target = table(spark, folder, "regions").where("start < stop").join(known.select("tid", F.col("name").alias("chrom")), "chrom").select("region_id", "tid", "start", "stop").distinct()
     pairs = interval_join(found.select("tid", "start", "stop"), target, ["tid"])
     return pairs.groupBy("region_id").agg(F.count(F.lit(1)).alias("counts"))
 
@@ -278,7 +278,7 @@ def streamed_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def events_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Events in progress at every second, per type: each lasts as many seconds as its value."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = table(spark, folder, "events")
     start = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - _EPOCH) / 1_000_000)
     known = spark.createDataFrame([(0, "time", _SECONDS)], "tid int, name string, length bigint")
     rows = events.select(F.col("event_type").alias("sample"), F.lit(0).alias("flag"), F.lit(0).alias("tid"), start.alias("start"), (start + 1 + F.floor("value")).alias("stop"), F.lit(60).alias("mapq"), F.lit(0).cast("bigint").alias("isize"))
@@ -287,7 +287,7 @@ def events_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def events_hourly(spark: SparkSession, folder: str) -> DataFrame:
     """Tumbling windows of an hour over event time, as a stream would give them."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = table(spark, folder, "events")
     grouped = events.groupBy("event_type", F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("largest"))
     return grouped.select("event_type", F.col("window.start").cast("string").alias("hour"), "n", "largest")
 

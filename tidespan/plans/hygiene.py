@@ -9,16 +9,13 @@ from tidespan.operators.dense import dense_aggregate, heavy_keys
 from tidespan.operators.differences import Field, difference_rows, differences
 from tidespan.operators.packed import NAMES, NUMBERS, split_packed
 from tidespan.operators.periods import merge_intervals
+from tidespan.plans.testdata import table as _table
 from tidespan.sources.rejects import parse_region_lines, rejected_lines, valid_regions
 
 #: A chrom with at least one row in so many counts as found.
 HEAVY = 20
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return heavy_keys(_table(spark, folder, "alignments"), "chrom", HEAVY).where("chrom >= 0").select("chrom")
 

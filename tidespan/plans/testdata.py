@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REF_LENGTH = 300_000
 
+_schemas: dict[str, StructType] = {}
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the test data; its schema is looked up once, which is a job of its own."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+_table = table
 
 
 def refs(spark: SparkSession, folder: str) -> DataFrame:
