@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidespan.operators.dense import dense_aggregate, heavy_keys
 from tidespan.operators.differences import Field, difference_rows, differences
-from tidespan.operators.packed import NAMES, NUMBERS, candidates, split_packed
+from tidespan.operators import packed
+from tidespan.operators.packed import FREE, NAMES, NUMBERS, candidates, cheapest, shape_of, split_packed
 from tidespan.operators.periods import IntervalMap, merge_intervals
 from tidespan.sources.rejects import parse_region_lines, rejected_lines, valid_regions
 
@@ -253,6 +254,35 @@ def test_every_dialect_that_parses_agrees(text):
     assert all(v == [w for w in "".join(c if c.isascii() and c.isdigit() else " " for c in text).split()] for _, v, _ in candidates(text, NUMBERS))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc12.-;, \"'é", max_size=20), st.sampled_from([NAMES, NUMBERS, FREE]))
+def test_a_shape_stands_for_its_strings(text, grammar):
+    bits = [(i * 37 % 11) / 2 + 1 for i in range(4096)]
+
+    def cost(candidate):
+        return candidate[2] + sum(bits[packed._shape(v)[0]] + packed._shape(v)[1] for v in candidate[1])
+
+    found, best = packed._candidates(text, grammar), cheapest(shape_of(text, grammar), grammar, bits)
+    mine = {c[0]: cost(c) for c in found}
+    assert best is not None and mine[best[0]] <= min(mine.values()) + 1e-9
+
+
+def test_codes_decide_where_values_hold_blanks_and_delimiters(spark):
+    places = ["New York", "Rome", "Los Angeles", "San Juan", "Oslo", "El Paso"]
+    strings, want = [], {}
+    for i in range(120):
+        chosen = [places[(i * 5 + j * (1 + i % 3)) % 6] for j in range(2 + i % 3)]
+        delimiter = [";", "; ", ",", "|"][i % 4]
+        strings.append((i, delimiter.join(chosen)))
+        want[i] = chosen
+    strings += [(200, '"Bonn, am Rhein","Rome"'), (201, "Oslo"), (202, ""), (203, "Rome\tNew York")]
+    want |= {200: ["Bonn, am Rhein", "Rome"], 201: ["Oslo"], 203: ["Rome", "New York"]}
+    found = defaultdict(list)
+    for r in split_packed(spark.createDataFrame(strings, "id bigint, s string"), "id", "s", FREE).orderBy("row_id", "pos").collect():
+        found[r["row_id"]].append(r["item"])
+    assert found == want
+
+
 def test_cheapest_dialect_is_named(spark):
     df = spark.createDataFrame([(i, f"g{i};h{i};k{i}") for i in range(50)] + [(60, "a;b,c|d")], "id bigint, s string")
     by = {r["row_id"]: r["dialect"] for r in split_packed(df, "id", "s", NAMES).collect()}

@@ -5,12 +5,22 @@ parsed and scored by minimum description length: the bits of its values under co
 learned from the whole column, plus the bits of its separators. The codes are counts of
 value shapes in ``BUCKETS`` hashed buckets, gathered over every row by a distributed sum,
 so the model has a fixed size whatever the data.
+
+With a ``Grammar`` a dialect must read a string as values of that grammar, so dialects that
+parse agree on the values and the cheapest only names how they are packed. Without one
+(``FREE``) any piece between two delimiters is a value, and the codes alone decide where a
+string is cut.
+
+What a dialect costs depends on a string's shape (``shape_of``) up to a term that all its
+dialects share, so each split scores a shape once, and parses a string once, in its cheapest
+dialect.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -48,6 +58,10 @@ class Grammar:
 
 NAMES = Grammar("A-Za-z0-9._-", "\"'")
 NUMBERS = Grammar("0-9")
+#: Any text between delimiters is a value, blanks around it aside; double quotes protect delimiters.
+FREE = Grammar("", "\"")
+#: Shapes whose scores a split keeps.
+_KEPT = 1 << 14
 
 
 @lru_cache
@@ -55,6 +69,20 @@ def _scanner(g: Grammar) -> re.Pattern:
     return re.compile("|".join([*(f"{q}(?:[^{q}]|{q}{q})*{q}" for q in g.quotes), f"[{g.chars}]+"]))
 
 
+@lru_cache
+def _alike(g: Grammar) -> list[tuple[re.Pattern, str]]:
+    """Runs of characters that no dialect tells apart, and what stands for them."""
+    classes = (("A-Za-z", "A"), ("0-9", "9"))
+    return [(re.compile(f"[{c}]+"), x) for c, x in classes if g == FREE or re.fullmatch(f"[{g.chars}]+", x)]
+
+
+def shape_of(text: str, g: Grammar) -> str:
+    """``text`` with each run of letters or digits that the grammar allows in a value as one character."""
+    for pattern, x in _alike(g):
+        text = pattern.sub(x, text)
+    return text
+
+
 @lru_cache
 def _run(g: Grammar) -> re.Pattern:
     return re.compile(f"[{g.chars}]+")
@@ -82,6 +110,8 @@ def parse(text: str, delimiter: str, quotes: str, grammar: Grammar) -> tuple[lis
 
     ``delimiter``: one of DELIMITERS, "" for a single value, or ANY.
     """
+    if grammar == FREE:
+        return _parse_free(text, delimiter, quotes)
     if delimiter == ANY:
         found = grammar.scanner.findall(text)
         rest = len(text) - sum(map(len, found))
@@ -113,6 +143,40 @@ def parse(text: str, delimiter: str, quotes: str, grammar: Grammar) -> tuple[lis
     return values, bits
 
 
+def _parse_free(text: str, delimiter: str, quotes: str) -> tuple[list[str], float] | None:
+    if delimiter == ANY:
+        return None
+    pieces = [text] if not delimiter else _free_pieces(text, delimiter, quotes)
+    values, bits = [], (len(pieces) - 1) * _DELIMITER_BITS
+    for piece in pieces:
+        core = piece.strip()
+        bits += (len(piece) - len(core)) * _BLANK_BITS
+        if not core:
+            bits += _OTHER_BITS
+            continue
+        q = core[0]
+        if q in quotes and (len(core) < 2 or core[-1] != q or core[1:-1].replace(q + q, "").count(q)):
+            return None
+        values.append(_unquote(core, quotes))
+    return values, bits
+
+
+def _free_pieces(text: str, delimiter: str, quotes: str) -> list[str]:
+    """``text`` cut at the delimiters that stand outside quotes; empty pieces too."""
+    if not quotes:
+        return text.split(delimiter)
+    pieces, at, inside = [], 0, ""
+    for i, c in enumerate(text):
+        if inside:
+            inside = "" if c == inside else inside
+        elif c in quotes:
+            inside = c
+        elif c == delimiter:
+            pieces.append(text[at:i])
+            at = i + 1
+    return [*pieces, text[at:]]
+
+
 def dialects(text: str, grammar: Grammar) -> list[tuple[str, str]]:
     """The candidate dialects of ``text``: (delimiter, quotes)."""
     used = "".join(q for q in grammar.quotes if q in text)
@@ -136,11 +200,15 @@ def _shape(value: str) -> tuple[int, float]:
 
 def candidates(text: str, grammar: Grammar) -> list[tuple[str, list[str], float]]:
     """Each dialect that parses ``text``: its name, its values, the bits of all but the value shapes."""
+    return [c[:3] for c in _candidates(text, grammar)]
+
+
+def _candidates(text: str, grammar: Grammar) -> list[tuple[str, list[str], float, str, str]]:
     out = []
     for delimiter, quotes in dialects(text, grammar):
         if (got := parse(text, delimiter, quotes, grammar)) is not None:
             name = {"": "single", "\t": "tab", " ": "blank"}.get(delimiter, delimiter) + (f" quote {quotes}" if quotes and delimiter != ANY else "")
-            out.append((name, got[0], got[1] + _NAME_BITS + len(quotes)))
+            out.append((name, got[0], got[1] + _NAME_BITS + len(quotes), delimiter, quotes))
     return out
 
 
@@ -148,13 +216,21 @@ def learn(df: DataFrame, column: str, grammar: Grammar) -> np.ndarray:
     """Bits of each shape bucket, from the values of every row in every dialect that parses it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(BUCKETS)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = candidates(text, grammar)
+        weight, shapes = np.zeros(BUCKETS), Counter()
+
+        def settle() -> None:
+            for shape, n in shapes.items():
+                found = candidates(shape, grammar)
                 for _, values, _ in found:
                     for v in values:
-                        weight[_shape(v)[0]] += 1 / len(found)
+                        weight[_shape(v)[0]] += n / len(found)
+            shapes.clear()
+
+        for batch in batches:
+            shapes.update(shape_of(text, grammar) for text in batch.column(0).to_pylist())
+            if len(shapes) > _KEPT:
+                settle()
+        settle()
         at = np.flatnonzero(weight)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weight[at])], names=["bucket", "weight"])
 
@@ -165,12 +241,28 @@ def learn(df: DataFrame, column: str, grammar: Grammar) -> np.ndarray:
     return -np.log2(total / total.sum())
 
 
+def cheapest(shape: str, grammar: Grammar, bits: list[float]) -> tuple[str, str, str] | None:
+    """The dialect of least cost for strings of a shape: its name, delimiter and quotes; None if none parses them.
+
+    The bits of a value's characters count all but what a dialect leaves out, which is the
+    same for each string of the shape.
+    """
+    best, least = None, math.inf
+    for name, values, cost, delimiter, quotes in _candidates(shape, grammar):
+        for v in values:
+            bucket, own = _shape(v)
+            cost += bits[bucket] + own
+        if cost < least:
+            best, least = (name, delimiter, quotes), cost
+    return best
+
+
 def split_packed(df: DataFrame, row_id: str, column: str, grammar: Grammar) -> DataFrame:
     """One row per value of each string: ``row_id``, ``pos`` (from 1), ``item``, ``n_items``, ``dialect``.
 
     Defined cases: repeated rows (same id and string) count once; a null, empty or blank
     string, or one without a value, gives no rows; an unclosed quote separates like any
-    other character; a value in quotes is given without them and may be empty; strings may
+    other character (with ``FREE`` it belongs to its value); a value in quotes is given without them and may be empty; strings may
     be of any length; an empty table gives no rows; further columns are ignored.
 
     Of dialects that cost the same, the first of ``dialects`` is taken.
@@ -181,17 +273,15 @@ def split_packed(df: DataFrame, row_id: str, column: str, grammar: Grammar) -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = code.tolist()
+        best = lru_cache(_KEPT)(lambda shape: cheapest(shape, grammar, bits))
         for batch in batches:
             take, pos, items, n, names = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                best, least = None, math.inf
-                for name, values, cost in candidates(text, grammar):
-                    for v in values:
-                        bucket, own = _shape(v)
-                        cost += bits[bucket] + own
-                    if cost < least:
-                        best, least = (name, values), cost
-                name, values = best
+                found = best(shape_of(text, grammar))
+                if found is None:
+                    continue
+                name, delimiter, quotes = found
+                values, _ = parse(text, delimiter, quotes, grammar)
                 take.extend([i] * len(values))
                 pos.extend(range(1, len(values) + 1))
                 items.extend(values)
