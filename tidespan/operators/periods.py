@@ -16,14 +16,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidespan.durable import durable
+
 #: Rows of an entity above which it is cut into tiles, and those of a tile.
 TILE_ROWS = 250_000
-#: Entities that are cut at most; over more rows than TILE_ROWS times this, tiles grow instead.
+#: Entities that are cut at most, so that the cuts stay small. Only from 5 * 10**10 rows on does
+#: the number of rows of a tile follow from it (10**7 rows over 2 * 10**12).
 MOST_LARGE = 200_000
 
 
@@ -84,9 +88,11 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", stop:
     cuts = _cuts(slim, large, keys)
     if not cuts:
         return _states(slim.withColumn("tile", F.lit(0)), keys, None).select(*keys, "kind", "start", "stop")
-    tiled = slim.mapInArrow(_tiler(cuts, keys, slim.schema), T.StructType([*slim.schema.fields, T.StructField("tile", T.IntegerType())]))
-    pieces = _states(tiled, keys, sorted(cuts))
-    return _stitch(pieces, keys)
+    # two cuts for each TILE_ROWS rows of large entities at most, which MOST_LARGE bounds
+    shipped = slim.sparkSession.sparkContext.broadcast(cuts)
+    tiled = slim.mapInArrow(_tiler(shipped, keys, slim.schema), T.StructType([*slim.schema.fields, T.StructField("tile", T.IntegerType())]))
+    # read three times
+    return _stitch(durable(_states(tiled, keys, shipped)), keys)
 
 
 def _cuts(slim: DataFrame, large: DataFrame, keys: list[str]) -> dict[tuple, list[int]]:
@@ -106,12 +112,13 @@ def _cuts(slim: DataFrame, large: DataFrame, keys: list[str]) -> dict[tuple, lis
     return cuts
 
 
-def _tiler(cuts: dict[tuple, list[int]], keys: list[str], schema: T.StructType):
+def _tiler(shipped: Broadcast, keys: list[str], schema: T.StructType):
     """Merges the rows of large entities within a split first, then cuts them at the tiles."""
     arrow = to_arrow_schema(T.StructType([*schema.fields, T.StructField("tile", T.IntegerType())]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[tuple, IntervalMap] = {}
+        cuts: dict[tuple, list[int]] = shipped.value
         for batch in batches:
             names = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys)))))
             large = np.fromiter((k in cuts for k in names), bool, len(names))
@@ -138,7 +145,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _states(tiled: DataFrame, keys: list[str], large: list[tuple] | None) -> DataFrame:
+def _states(tiled: DataFrame, keys: list[str], large: Broadcast | None) -> DataFrame:
     """Keyed state over each (entity, tile): its periods and gaps.
 
     ``edge`` is true for the first and last period of a tile of a large entity. Rows come
@@ -147,10 +154,10 @@ def _states(tiled: DataFrame, keys: list[str], large: list[tuple] | None) -> Dat
     fields = {f.name: f for f in tiled.schema}
     result = T.StructType([*(fields[k] for k in keys), T.StructField("tile", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("edge", T.BooleanType())])
     arrow = to_arrow_schema(result)
-    cut = set(large or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in arrow]
+        cut = large.value if large is not None else {}
         now, held = None, IntervalMap()
 
         def close() -> None:

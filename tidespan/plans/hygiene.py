@@ -54,6 +54,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return merge_intervals(_table(spark, folder, "regions"), ["panel_id", "chrom"])
 
 
+def p3_tiled(spark: SparkSession, folder: str) -> DataFrame:
+    """``p3_found`` with tiles so small that the entities of these tables are cut too."""
+    return merge_intervals(_table(spark, folder, "regions"), ["panel_id", "chrom"], tile_rows=20)
+
+
 _COUNT_FIELDS = [Field("chrom"), Field("strand"), Field("length"), Field("c1", "counts", "c1"), Field("rpkm", within=0.0005)]
 
 
@@ -73,7 +78,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return several(genes, "gene_id").unionByName(several(starts, "starts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_chrom_profile, p2_found, p2_loaded, p2_rejects, p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_chrom_profile, p2_found, p2_loaded, p2_rejects, p3_found, p3_tiled, p4_found, p5_found)}
 
 _LINES = r"""
 WITH l AS (SELECT line_id, n_cols, regexp_replace(regexp_replace(line, '^\x{FEFF}', ''), '\r\z', '') AS line FROM region_lines JOIN region_files USING (file_no)),
@@ -88,6 +93,14 @@ c AS (SELECT line_id, n_cols, v, coalesce(quoted AND len(v) = n_cols AND refs.na
   AND (n_cols < 6 OR v[6] IN ('+', '-', '.')), false) AS valid FROM f LEFT JOIN refs ON refs.name = v[1])
 """
 
+_PERIODS = """
+WITH m AS (SELECT panel_id, chrom, start, stop, max(stop) OVER (PARTITION BY panel_id, chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM (SELECT DISTINCT panel_id, chrom, start, stop FROM regions WHERE panel_id IS NOT NULL AND chrom IS NOT NULL AND start < stop)),
+i AS (SELECT *, count(*) FILTER (WHERE reach IS NULL OR start > reach) OVER (PARTITION BY panel_id, chrom ORDER BY start, stop) AS island FROM m),
+p AS (SELECT panel_id, chrom, min(start) AS start, max(stop) AS stop FROM i GROUP BY panel_id, chrom, island),
+n AS (SELECT *, lead(start) OVER (PARTITION BY panel_id, chrom ORDER BY start) AS next_start FROM p)
+SELECT panel_id, chrom, 'period' AS kind, start, stop FROM p UNION ALL SELECT panel_id, chrom, 'gap', stop, next_start FROM n WHERE next_start IS NOT NULL"""
+
 SQL = {
     "p1_found": "SELECT chrom FROM alignments WHERE chrom >= 0 GROUP BY chrom HAVING count(*) * 20 >= (SELECT count(*) FROM alignments)",
     "p1_chrom_profile": """
@@ -98,13 +111,8 @@ FROM alignments GROUP BY chrom""",
     "p2_loaded": _LINES
     + """SELECT line_id, v[1] AS chrom, CAST(trim(v[2]) AS BIGINT) AS start, CAST(trim(v[3]) AS BIGINT) AS stop,
   CASE WHEN n_cols >= 4 THEN v[4] END AS name, CASE WHEN n_cols >= 5 THEN v[5] END AS score, CASE WHEN n_cols >= 6 THEN v[6] END AS strand FROM c WHERE valid""",
-    "p3_found": """
-WITH m AS (SELECT panel_id, chrom, start, stop, max(stop) OVER (PARTITION BY panel_id, chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-  FROM (SELECT DISTINCT panel_id, chrom, start, stop FROM regions WHERE panel_id IS NOT NULL AND chrom IS NOT NULL AND start < stop)),
-i AS (SELECT *, count(*) FILTER (WHERE reach IS NULL OR start > reach) OVER (PARTITION BY panel_id, chrom ORDER BY start, stop) AS island FROM m),
-p AS (SELECT panel_id, chrom, min(start) AS start, max(stop) AS stop FROM i GROUP BY panel_id, chrom, island),
-n AS (SELECT *, lead(start) OVER (PARTITION BY panel_id, chrom ORDER BY start) AS next_start FROM p)
-SELECT panel_id, chrom, 'period' AS kind, start, stop FROM p UNION ALL SELECT panel_id, chrom, 'gap', stop, next_start FROM n WHERE next_start IS NOT NULL""",
+    "p3_found": _PERIODS,
+    "p3_tiled": _PERIODS,
     "p4_found": """
 WITH a AS (SELECT sample, trim(geneid) AS geneid, chrom, strand, length, counts AS c1, rpkm, 1 AS there FROM fc
   QUALIFY row_number() OVER (PARTITION BY sample, trim(geneid) ORDER BY loaded_at DESC NULLS LAST, chrom DESC NULLS LAST, strand DESC NULLS LAST, length DESC NULLS LAST, counts DESC NULLS LAST, rpkm DESC NULLS LAST) = 1),
