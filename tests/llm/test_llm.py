@@ -125,6 +125,14 @@ def test_small_groups_are_exact_and_parts_combine(spark):
     assert percentiles(df.limit(0), ["g"], value, shares).collect() == []
 
 
+def test_order_of_sketches_does_not_matter(spark):
+    df = spark.range(60_000, numPartitions=8).select(F.lit("g").alias("g"), (F.col("id") % 8).alias("day"), (F.col("id") * 7919 % 60_000).cast("double").alias("v"))
+    days = spark.createDataFrame(sketch_groups(df, ["g", "day"], F.col("v")).collect(), "g string, day bigint, n bigint, sketch binary")
+    shares = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    orders = [days.orderBy("day").coalesce(1), days.orderBy(F.desc("day")).coalesce(1), days.repartition(5, "day")]
+    assert len({tuple(read_percentiles(o, ["g"], shares).first()) for o in orders}) == 1
+
+
 def test_hot_group_in_many_splits(spark):
     df = spark.range(300_000, numPartitions=70).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), F.col("id").cast("double").alias("v"))
     found = {r["g"]: r for r in percentiles(df, ["g"], F.col("v"), {"p50": 0.5, "p999": 0.999}).collect()}

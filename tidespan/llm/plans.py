@@ -54,6 +54,31 @@ def p6_from_days(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(_both_tails(["sample", "tid"], lambda shares, high: read_percentiles(days[high], ["sample", "tid"], shares, high=high)), "forward", "tid")
 
 
+def p6_within_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each percentile of forward, per sample and tid and per sample, keeps the bound against exact ranks.
+
+    The stated bound is three standard deviations; a few of thousands of ranks may pass it, none should pass five.
+    """
+    pieces = _table(spark, folder, "coverage")
+    parts = []
+    for groups in (["sample", "tid"], ["sample"]):
+        found = _both_tails(groups, lambda shares, high, g=groups: percentiles(pieces, g, _measured("forward"), shares, high=high))
+        values = pieces.select(*(F.col(g).alias(f"of_{g}") for g in groups), _measured("forward").cast("double").alias("value")).where("value IS NOT NULL")
+        same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups))
+        below = [F.sum(F.when(F.col("value") < F.col(k), 1).otherwise(0)).alias(f"below_{k}") for k in SHARES]
+        upto = [F.sum(F.when(F.col("value") <= F.col(k), 1).otherwise(0)).alias(f"upto_{k}") for k in SHARES]
+        ranked = values.join(found, same).groupBy(*groups, "n", "least", "greatest").agg(*below, *upto)
+        tid = F.col("tid").cast("string") if "tid" in groups else F.lit("any")
+        judged = []
+        for k, q in SHARES.items():
+            rank = F.greatest(F.lit(1), F.ceil(F.col("n") * q - 1e-9))
+            off = F.greatest(F.lit(0), F.col(f"below_{k}") + 1 - rank, rank - F.col(f"upto_{k}"))
+            within = off <= F.col("n") * min(q, 1 - q) * rank_error() * 5 / 3 + 1
+            judged.append(F.struct(F.lit(k).alias("percentile"), within.alias("within")))
+        parts.append(ranked.select("sample", tid.alias("tid"), "n", "least", "greatest", F.inline(F.array(*judged))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -84,10 +109,15 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return cut_shares(_table(spark, folder, "documents"), "doc_id", "text", "source", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p6_percentiles, p6_from_days, p7_ids, p8_containers, p8_fill_by_chars, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p6_percentiles, p6_from_days, p6_within_bound, p7_ids, p8_containers, p8_fill_by_chars, p9_found, p9_shares)}
 
 #: For what SQL can say; tests hold the other queries against brute force, libraries and held-out cuts.
 SQL: dict[str, str] = {
+    "p6_within_bound": """WITH v AS (SELECT sample, CAST(tid AS VARCHAR) AS tid, CAST(forward AS DOUBLE) AS forward FROM coverage WHERE forward <> -1),
+g AS (SELECT sample, tid, count(*) AS n, min(forward) AS least, max(forward) AS greatest FROM v GROUP BY ALL UNION ALL SELECT sample, 'any', count(*), min(forward), max(forward) FROM v GROUP BY ALL)
+SELECT sample, tid, p.percentile, n, least, greatest, true AS within FROM g, (SELECT unnest(['"""
+    + "', '".join(SHARES)
+    + """']) AS percentile) p""",
     "p8_fill_by_chars": f"""WITH s AS (SELECT length(text) AS size FROM documents WHERE length(text) > 0)
 SELECT CAST(sum((size + {CAPACITY - 1}) // {CAPACITY}) AS BIGINT) AS n_parts, CAST(sum(size) AS BIGINT) AS units, CAST((sum(size) + {CAPACITY - 1}) // {CAPACITY} AS BIGINT) AS least_bins,
   true AS none_overfull, true AS nearly_full FROM s""",

@@ -5,7 +5,8 @@ of the input. A full compactor leaves one tail of its sorted buffer alone and ha
 other: of each pair one value, chosen by a coin, moves up a level. How far a compaction
 reaches into the buffer follows the trailing ones of a counter, so values near the
 protected tail are seldom touched and the error of a rank shrinks with its distance from
-that tail. Sketches of partitions or days merge level by level.
+that tail. Sketches of partitions or days merge level by level, in an order that follows from
+what they hold, so that the same sketches give the same result however they arrive.
 
 Bound: with section size ``k`` the estimated rank of a value differs from its true rank by
 at most ``rank_error(k)`` times the number of values on the protected side of it (three
@@ -173,7 +174,7 @@ def sketch_groups(df: DataFrame, groups: list[str], value: Column, *, section: i
     Nulls and NaN are not values; further exclusions (a -1 for "not measured") belong into
     ``value`` as nulls. A group without a value isn't listed; a null is a group of its own;
     repeated rows count each time; an empty table gives no rows; columns of other names are
-    ignored, ``groups`` may not be named ``n``, ``sketch`` or ``salt``.
+    ignored, ``groups`` may not be named ``n``, ``sketch``, ``salt``, ``raw``, ``content`` or ``value``.
 
     Every split sketches its own rows, so the rows of a group are never brought together;
     splits are merged in two rounds when there are many.
@@ -183,7 +184,7 @@ def sketch_groups(df: DataFrame, groups: list[str], value: Column, *, section: i
 
 def merge_sketches(sketches: DataFrame, groups: list[str], *, section: int = SECTION, high: bool = True) -> DataFrame:
     """Merges the results of ``sketch_groups`` (of days, of parts of the rows) to coarser ``groups``."""
-    rows = sketches.select(*groups, F.lit(None).cast("array<double>").alias("raw"), "sketch", F.spark_partition_id().alias("salt"))
+    rows = sketches.select(*groups, F.lit(None).cast("array<double>").alias("raw"), "sketch")
     return _merged(rows, groups, section, high, None)
 
 
@@ -194,16 +195,16 @@ def percentiles(df: DataFrame, groups: list[str], value: Column, shares: dict[st
 
 def read_percentiles(sketches: DataFrame, groups: list[str], shares: dict[str, float], *, section: int = SECTION, high: bool = True) -> DataFrame:
     """``merge_sketches`` to ``groups``, read at once as in ``percentiles``."""
-    rows = sketches.select(*groups, F.lit(None).cast("array<double>").alias("raw"), "sketch", F.spark_partition_id().alias("salt"))
+    rows = sketches.select(*groups, F.lit(None).cast("array<double>").alias("raw"), "sketch")
     return _merged(rows, groups, section, high, shares)
 
 
 def _partial(df: DataFrame, groups: list[str], value: Column, section: int, high: bool) -> DataFrame:
     """For each split and group: its values while a compactor would hold them, else its sketch."""
-    if {"n", "sketch", "salt", "raw", "value"} & set(groups):
+    if {"n", "sketch", "salt", "raw", "content", "value"} & set(groups):
         raise ValueError("rename the groups")
     slim = df.select(*groups, value.cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("raw", T.ArrayType(T.DoubleType())), T.StructField("sketch", T.BinaryType()), T.StructField("salt", T.IntegerType())])
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("raw", T.ArrayType(T.DoubleType())), T.StructField("sketch", T.BinaryType())])
     arrow, exact = to_arrow_schema(schema), 2 * _SECTIONS * section
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +241,8 @@ def _partial(df: DataFrame, groups: list[str], value: Column, section: int, high
         offsets = np.concatenate([[0], np.cumsum(np.where(small, lengths, 0))]).astype(np.int32)
         raw = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept]))
         first = pa.array(order[starts])
-        salt = pa.array(np.full(len(starts), TaskContext.get().partitionId(), np.int32))
         columns = [table.column(g).combine_chunks().take(first) for g in groups]
-        return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).cast(f.type) for c, f in zip([*columns, raw, pa.array(sketches, pa.binary()), salt], arrow)], schema=arrow)
+        return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).cast(f.type) for c, f in zip([*columns, raw, pa.array(sketches, pa.binary())], arrow)], schema=arrow)
 
     return slim.mapInArrow(run, schema)
 
@@ -250,7 +250,7 @@ def _partial(df: DataFrame, groups: list[str], value: Column, section: int, high
 def _merged(partial: DataFrame, groups: list[str], section: int, high: bool, shares: dict[str, float] | None) -> DataFrame:
     splits = _splits(partial)
     if splits > _FAN_IN:
-        rounds = F.pmod(F.xxhash64("salt"), F.lit(max(2, math.isqrt(splits)))).cast("int")
+        rounds = F.pmod(F.xxhash64("raw", "sketch"), F.lit(max(2, math.isqrt(splits)))).cast("int")
         first = _merge_round(partial.select(*groups, rounds.alias("salt"), "raw", "sketch"), [*groups, "salt"], section, high, None)
         partial = first.select(*groups, F.lit(None).cast("array<double>").alias("raw"), "sketch")
     return _merge_round(partial.select(*groups, "raw", "sketch"), groups, section, high, shares)
@@ -280,7 +280,7 @@ def _merge_round(partial: DataFrame, groups: list[str], section: int, high: bool
         def total() -> Sketch:
             s = sketch or Sketch(section, high, seed=crc32(repr(now).encode()))
             if raw:
-                s.update(np.concatenate(raw))
+                s.update(np.sort(np.concatenate(raw)))
             return s
 
         def close() -> None:
@@ -317,4 +317,6 @@ def _merge_round(partial: DataFrame, groups: list[str], section: int, high: bool
             close()
             yield ready()
 
-    return partial.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, schema)
+    # by content within a group: the order in which sketches come in must not matter
+    ordered = partial.withColumn("content", F.xxhash64("raw", "sketch")).repartition(*groups).sortWithinPartitions(*groups, "content")
+    return ordered.select(*groups, "raw", "sketch").mapInArrow(run, schema)
