@@ -16,7 +16,7 @@ from tidespan.llm import plans
 from tidespan.llm.containers import fill_containers, fullest, plan_bins
 from tidespan.llm.quantiles import Sketch, merge_sketches, percentiles, rank_error, read_percentiles, sketch_groups
 from tidespan.llm.tokens import VOCABULARIES, Encoder, RankQueue, encode_texts, load_vocabulary, token_counts
-from tidespan.llm.truncation import cut_shares, cut_texts, final_part, length_limits, score_ends, tail_kind
+from tidespan.llm.truncation import _count_contexts, cut_shares, cut_texts, final_part, length_limits, open_ends, score_ends, tail_kind
 
 # encoding
 
@@ -278,6 +278,16 @@ def test_null_and_repeated_ids_are_listed_as_often_as_they_come(spark):
     assert all(r["n_cut"] <= r["n_texts"] for r in cut_shares(df, "id", "text", "source", "lang").collect())
 
 
+def test_blocks_of_contexts_count_alike(spark):
+    df = spark.createDataFrame(_corpus(400, 3), "id bigint, text string, source string, lang string, kind string").repartition(3)
+    opens = open_ends(df, "id", "text", "source", "lang").cache()
+    wanted = {h for r in opens.collect() for h in r["contexts"]}
+    counts = [{r["h"]: r[1:] for r in _count_contexts(df, "text", "lang", opens, most)[0].select("h", "ends", "goes_on").collect() if r["h"] in wanted} for most in (28, 9)]
+    assert counts[0] == counts[1] and len(counts[0]) > 500
+    totals = [rows(_count_contexts(df, "text", "lang", opens, most)[1]) for most in (28, 9)]
+    assert totals[0] == totals[1]
+
+
 def test_copies_make_no_limit(spark):
     df = spark.createDataFrame([("s", "A title")] * 1000 + [("s", f"{'x' * (i % 20)} {i % 7}") for i in range(60)], "source string, text string")
     assert length_limits(df, "text", "source").collect() == []

@@ -10,15 +10,18 @@ The share of cut texts of a group, and with it the threshold, is estimated from
 themselves. Length limits are read off the sources' length histograms.
 
 The model is counted over every position of every text. Only the contexts that some text
-ends in are kept; a bitmap of fixed size tells the splits which, and the counts stay in
-distributed tables.
+ends in are kept: a bitmap tells the splits which. A longer context is only looked up where the
+shorter one was there, so false hits of a bitmap that is half full don't add up. Beyond
+``BITMAP`` bits the contexts are split into blocks by their shortest part, with a bitmap and a
+pass over the texts for each. The counts stay in distributed tables.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,8 @@ ORDERS = (2, 3, 4, 6, 9, *range(12, 33, 2))
 BACKOFF = 1.5
 #: Weight of an end without a final mark, which may be a cut, against one with it.
 WITNESS = 0.2
-#: log2 of the bits of the bitmap of contexts.
-BITMAP = 24
+#: log2 of the bits of a bitmap of contexts, at most, and bits for each context.
+BITMAP, BITS_EACH = 28, 1.5
 #: Occurrences by which a group's share of cut texts leans on that of the wider group.
 LEAN = 4.0
 #: Log-odds beyond which no context counts, and those under which a text is cut whatever its group.
@@ -104,13 +107,31 @@ def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
     for back in range(ORDERS[-1]):
         total[back:] += (codes[: len(codes) - back] + np.uint64(1)) * np.uint64(pow(_BASE, back, 1 << 64))
         if back + 1 in ORDERS:
-            mixed = total ^ np.uint64((back + 1) * 0x1000193)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield mixed ^ (mixed >> np.uint64(29))
+            yield _mixed(total, back + 1)
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - BITMAP)
+def _mixed(total: np.ndarray, order: int) -> np.ndarray:
+    mixed = total ^ np.uint64(order * 0x1000193)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _known_contexts(codes: np.ndarray, at: np.ndarray, wanted: np.ndarray, block: int, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ORDERS the hashes of the contexts at positions ``at`` that ``wanted`` may hold, and which of ``at`` they are."""
+    shift = np.uint64(64 - (len(wanted) * 64).bit_length() + 1)
+    total, index = np.zeros(len(at), np.uint64), np.arange(len(at))
+    for back in range(ORDERS[-1]):
+        total += (codes[at - back] + np.uint64(1)) * np.uint64(pow(_BASE, back, 1 << 64))
+        if back + 1 in ORDERS:
+            h = _mixed(total, back + 1)
+            bit = h >> shift
+            hit = (wanted[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+            if blocks > 1 and back + 1 == ORDERS[0]:
+                hit &= h.view(np.int64) % blocks == block
+            at, total, index = at[hit], total[hit], index[hit]
+            yield h[hit], index
+            if not len(at):
+                return
 
 
 def open_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) -> DataFrame:
@@ -159,8 +180,29 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(lang, "^[A-Za-z]{2,3}", 0)), F.lit("")), F.lit("und"))
 
 
-def _count_contexts(df: DataFrame, text: str, lang: str, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """How often each context of ``bitmap`` ends before a final mark and how often it goes on; both in total by language."""
+def _bitmap(opens: DataFrame, bits: int, block: int, blocks: int) -> np.ndarray:
+    """The contexts of a block as a bitmap of 2**``bits`` bits."""
+    hashed = opens.where(F.pmod(F.col("contexts")[0], F.lit(blocks)) == block).select(F.explode("contexts").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 64 - bits + 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))")
+    # at most 2 ** (bits - 6) rows
+    words = hashed.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap.view(np.uint64)
+
+
+def _count_contexts(df: DataFrame, text: str, lang: str, opens: DataFrame, most: int = BITMAP) -> tuple[DataFrame, DataFrame]:
+    """How often each context of ``opens`` ends before a final mark and how often it goes on; both in total by language."""
+    contexts = opens.select(F.explode("contexts").alias("h")).agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(most, max(16, math.ceil(math.log2(BITS_EACH * contexts + 1)) + 3))
+    blocks = max(1, math.ceil(BITS_EACH * contexts / (1 << bits)))
+    slim = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), language(F.col(lang)).alias("language"))
+    parts = [slim.mapInArrow(_counter(slim, _bitmap(opens, bits, b, blocks), b, blocks), "h bigint, ends bigint, goes_on bigint, language string") for b in range(blocks)]
+    counted = durable(reduce(DataFrame.unionByName, parts).groupBy("h", "language").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")))
+    return counted.where("h IS NOT NULL").drop("language"), counted.where("h IS NULL").drop("h")
+
+
+def _counter(df: DataFrame, bitmap: np.ndarray, block: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shipped = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +212,7 @@ def _count_contexts(df: DataFrame, text: str, lang: str, bitmap: np.ndarray) ->
             low, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t) + ORDERS[-1]
-                if size > 500_000 or i + 1 == len(texts):
+                if size > 250_000 or i + 1 == len(texts):
                     yield from count(texts[low : i + 1], batch.column(1).slice(low, i + 1 - low).to_pylist(), wanted)
                     low, size = i + 1, 0
 
@@ -190,24 +232,19 @@ def _count_contexts(df: DataFrame, text: str, lang: str, bitmap: np.ndarray) ->
         valid = (np.cumsum(inside)[:n] > 0) & ~unclear & (codes > 32)
         at = np.flatnonzero(valid)
         ends_here = ended[at]
-        parts = []
-        for h in _hashes(_normal(codes)):
-            here = h[at]
-            bit = _bit(here)
-            hit = (wanted[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-            parts.append((here[hit], ends_here[hit]))
-        h, e = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        keys, inverse = np.unique(h, return_inverse=True)
+        found = list(_known_contexts(_normal(codes), at, wanted, block, blocks))
+        inverse, keys = pd.factorize(np.concatenate([h for h, _ in found]))
         total = np.bincount(inverse, minlength=len(keys))
-        stop = np.bincount(inverse, weights=e, minlength=len(keys)).astype(np.int64)
+        stop = np.bincount(inverse, weights=ends_here[np.concatenate([i for _, i in found])], minlength=len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(stop), pa.array(total - stop), pa.nulls(len(keys), pa.string())], names=["h", "ends", "goes_on", "language"])
-        owner = np.searchsorted(starts, at, "right") - 1
-        by = pd.DataFrame({"language": np.array(languages, object)[owner], "e": ends_here}).groupby("language").e.agg(["sum", "count"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(by), pa.int64()), pa.array(by["sum"].to_numpy(np.int64)), pa.array((by["count"] - by["sum"]).to_numpy(np.int64)), pa.array(list(by.index), pa.string())], names=["h", "ends", "goes_on", "language"])
+        if block == 0:
+            own, names = pd.factorize(np.array(languages, object))
+            of = own[np.searchsorted(starts, at, "right") - 1]
+            total = np.bincount(of, minlength=len(names))
+            stop = np.bincount(of, weights=ends_here, minlength=len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.array(stop), pa.array(total - stop), pa.array(list(names), pa.string())], names=["h", "ends", "goes_on", "language"])
 
-    slim = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), language(F.col(lang)).alias("language"))
-    counted = durable(slim.mapInArrow(run, "h bigint, ends bigint, goes_on bigint, language string").groupBy("h", "language").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")))
-    return counted.where("h IS NOT NULL").drop("language"), counted.where("h IS NULL").drop("h")
+    return run
 
 
 def length_limits(df: DataFrame, text: str, source: str) -> DataFrame:
@@ -252,13 +289,7 @@ def score_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) ->
     hold nothing. See ``cut_texts`` for the defined cases.
     """
     opens = durable(open_ends(df, row_id, text, source, lang))
-    hashed = opens.select(F.explode("contexts").alias("h"))
-    bit = F.shiftrightunsigned("h", 64 - BITMAP)
-    words = hashed.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP}) & 63 AS int))")).alias("bits")).collect()
-    bitmap = np.zeros(1 << (BITMAP - 6), np.int64)
-    for r in words:
-        bitmap[r["word"]] = r["bits"]
-    counted, by_language = _count_contexts(df, text, lang, bitmap.view(np.uint64))
+    counted, by_language = _count_contexts(df, text, lang, opens)
 
     overall = by_language.agg(F.log((F.sum("ends") + 1) / (F.sum("goes_on") + 50)).alias("usual")).first()["usual"] or -4.0
     # few languages; one of few positions leans on all
@@ -321,8 +352,8 @@ def _round(known: DataFrame, counted: DataFrame) -> DataFrame:
 
     scored = durable(known.withColumn("context", last).join(log_odds, "context").drop("contexts", "context", "chars").withColumn("against", F.col("usual") - F.col("log_odds")))
     free = scored.where(~F.col("at_limit"))
-    wide = _shares(free.withColumn("all", F.lit(0)), ["all"], F.lit(0.3)).withColumnRenamed("share", "wide")
-    kind = _shares(free.withColumn("all", F.lit(0)).join(F.broadcast(wide), "all"), ["tail"], F.col("wide")).withColumnRenamed("share", "wide")
+    wide = _shares(free.withColumn("all", F.lit(0)), ["all"], F.lit(0.3)).first()
+    kind = _shares(free, ["tail"], F.lit(wide["share"] if wide else 0.3)).withColumnRenamed("share", "wide")
     group = _shares(free.join(kind, "tail"), ["source_key", "tail"], F.col("wide"))
     # where a limit is reached, the histogram of lengths says how many are cut
     share = F.when(F.col("at_limit"), F.greatest(F.lit(0.5), F.least(F.lit(1 - 1e-4), F.col("pile_up")))).otherwise(F.col("share"))
