@@ -202,30 +202,65 @@ def _count_contexts(df: DataFrame, text: str, lang: str, opens: DataFrame, most:
     return counted.where("h IS NOT NULL").drop("language"), counted.where("h IS NULL").drop("h")
 
 
+class _Held:
+    """Counts by context of what a split has seen since it last gave them out."""
+
+    def __init__(self):
+        self.keys, self.ends, self.total = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    @property
+    def rows(self) -> int:
+        return len(self.keys)
+
+    def add(self, h: np.ndarray, ends: np.ndarray, total: np.ndarray) -> None:
+        own, keys = pd.factorize(np.concatenate([self.keys, h]))
+        sums = [np.bincount(own, weights=np.concatenate([a, b]), minlength=len(keys)).astype(np.int64) for a, b in ((self.ends, ends), (self.total, total))]
+        self.keys, self.ends, self.total = keys, *sums
+
+    def batch(self) -> pa.RecordBatch:
+        """What is held, which is let go."""
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.ends), pa.array(self.total - self.ends), pa.nulls(self.rows, pa.string())], names=["h", "ends", "goes_on", "language"])
+        self.__init__()
+        return out
+
+
+#: Bits of a character's class: final mark, closing mark, blank, final mark without a blank after it, not to be judged, point.
+_MARK, _CLOSE, _BLANK, _WIDE, _LOST, _POINT = (np.uint8(1 << i) for i in range(6))
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(1 << 16, np.uint8)
+    for chars, bit in ((_FINAL, _MARK), (_CLOSING, _CLOSE), ("\u3000\u00a0", _BLANK), ([c for c in _FINAL if ord(c) > 0x3000], _WIDE), ("\u2026\ufffd", _LOST), (".", _POINT)):
+        for c in chars:
+            out[ord(c)] |= bit
+    out[:33] |= _BLANK
+    out[-1] = 0  # stands for all beyond
+    return out
+
+
 def _counter(df: DataFrame, bitmap: np.ndarray, block: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shipped = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shipped.value
+        wanted, classes, held = shipped.value, _classes(), _Held()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             low, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t) + ORDERS[-1]
                 if size > 250_000 or i + 1 == len(texts):
-                    yield from count(texts[low : i + 1], batch.column(1).slice(low, i + 1 - low).to_pylist(), wanted)
+                    yield from count(texts[low : i + 1], batch.column(1).slice(low, i + 1 - low).to_pylist(), wanted, classes, held)
                     low, size = i + 1, 0
+        yield held.batch()
 
-    def count(texts: list[str], languages: list[str], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def count(texts: list[str], languages: list[str], wanted: np.ndarray, classes: np.ndarray, held: _Held) -> Iterator[pa.RecordBatch]:
         codes, starts, ends = _codes(texts)
         n = len(codes)
-        after, then = np.append(codes[1:], _PAD), np.append(codes[2:], [_PAD, _PAD])[:n]
-        mark = np.isin(after, [ord(c) for c in _FINAL])
-        blank = (then <= 32) | (then == 0x3000) | (then == 0xA0) | np.isin(then, [ord(c) for c in _CLOSING])
-        ended = mark & (blank | (after > 0x3000))
-        final, closing = np.isin(codes, [ord(c) for c in _FINAL]), np.isin(codes, [ord(c) for c in _CLOSING])
-        closed = final | (closing & np.append(False, (final | closing)[:-1]))
-        unclear = np.isin(after, [0x2026, 0xFFFD]) | ((after == 46) & (then == 46)) | closed
+        kind = classes[np.minimum(codes, len(classes) - 1)]
+        after, then = np.append(kind[1:], np.uint8(0)), np.append(kind[2:], np.zeros(2, np.uint8))[:n]
+        ended = (after & _MARK > 0) & ((then & (_BLANK | _CLOSE) > 0) | (after & _WIDE > 0))
+        closed = (kind & _MARK > 0) | ((kind & _CLOSE > 0) & np.append(False, (kind & (_MARK | _CLOSE) > 0)[:-1]))
+        unclear = (after & _LOST > 0) | ((after & then & _POINT) > 0) | closed
         inside = np.zeros(n + 1, np.int32)
         np.add.at(inside, starts, 1)
         np.add.at(inside, np.maximum(ends - 1, starts), -1)  # what a text's last character means isn't known
@@ -233,10 +268,10 @@ def _counter(df: DataFrame, bitmap: np.ndarray, block: int, blocks: int) -> Call
         at = np.flatnonzero(valid)
         ends_here = ended[at]
         found = list(_known_contexts(_normal(codes), at, wanted, block, blocks))
-        inverse, keys = pd.factorize(np.concatenate([h for h, _ in found]))
-        total = np.bincount(inverse, minlength=len(keys))
-        stop = np.bincount(inverse, weights=ends_here[np.concatenate([i for _, i in found])], minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(stop), pa.array(total - stop), pa.nulls(len(keys), pa.string())], names=["h", "ends", "goes_on", "language"])
+        h, ends_at = np.concatenate([h for h, _ in found]), ends_here[np.concatenate([i for _, i in found])]
+        held.add(h, ends_at.astype(np.int64), np.ones(len(h), np.int64))
+        if held.rows > 1_000_000:
+            yield held.batch()
         if block == 0:
             own, names = pd.factorize(np.array(languages, object))
             of = own[np.searchsorted(starts, at, "right") - 1]
