@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
 from tidespan.functions.alignments import UNMAPPED, has_flag, reference_length, sample_name
 from tidespan.schema import ALIGNMENTS, REFS
+from tidespan.sources.files import list_files, open_file, replacing_file
 from tidespan.sources.regions import _lines, _number
 
 _COLUMNS = [c.split()[0] for c in ALIGNMENTS.split(", ")]
@@ -61,14 +66,27 @@ def parse_sam(lines: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def register_bam(spark: SparkSession) -> None:
-    """Makes ``spark.read.format("bam")`` known. Option ``table``: ``alignments`` (default) or ``header``."""
+    """Makes ``spark.read.format("bam")`` known.
+
+    Options: ``table`` is ``alignments`` (default) or ``header``; ``columns``, names with commas,
+    are all that is decoded (default: all); ``splitBytes`` of compressed blocks make a partition.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Alignments of a BAM file or of the BAM files of a folder, local or on any store that pyarrow knows (hdfs, s3, gs).
+
+    With ``columns`` only these are decoded: depth needs no bases and no names.
+    """
     register_bam(spark)
-    return spark.read.format("bam").load(path)
+    reader = spark.read.format("bam")
+    return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
+
+
+#: What depth and counts are made from.
+DEPTH_COLUMNS = ["sample", "flag", "tid", "start", "stop", "mapq", "isize"]
 
 
 def read_bam_refs(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +104,9 @@ class BamDataSource(DataSource):
     """BAM files; one partition per file and about ``splitBytes`` of compressed blocks.
 
     A split starts at the first block from which records can be followed for ``_CHAIN``
-    records; blocks are found by their magic and length. Filters on tid, mapq and flag
-    equality are applied while records are read.
+    records; blocks are found by their magic and length. Filters on tid, mapq and flag are
+    applied to the fixed fields before anything else of a record is decoded; fields are
+    decoded for many records at a time.
     """
 
     @classmethod
@@ -95,10 +114,14 @@ class BamDataSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return "tid int, name string, length bigint" if self.options.get("table") == "header" else ALIGNMENTS
+        if self.options.get("table") == "header":
+            return REFS
+        wanted = self.options.get("columns")
+        fields = {c.split()[0]: c for c in ALIGNMENTS.split(", ")}
+        return ", ".join(fields[c.strip()] for c in wanted.split(",")) if wanted else ALIGNMENTS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
+        return BamReader(self.options, [f.name for f in schema])
 
 
 class _Split(InputPartition):
@@ -108,14 +131,13 @@ class _Split(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, columns: list[str]):
         path = options.get("path")
         if not path:
             raise ValueError("give a path")
         refuse_cram(path)
-        self.header = options.get("table") == "header"
-        path = path.removeprefix("file:")
-        self.files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".bam")) if os.path.isdir(path) else [path]
+        self.header, self.columns = options.get("table") == "header", columns
+        self.files = list_files(path, ".bam")
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
         self.tests: list[tuple[str, str, object]] = []
 
@@ -129,16 +151,14 @@ class BamReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        if not self.files:
+            return []
         if self.header:
-            return [_Split(self.files[0], 0, 0)]
-        out = []
-        for path in self.files:
-            size = os.path.getsize(path)
-            out += [_Split(path, at, min(size, at + self.split_bytes)) for at in range(0, max(size, 1), self.split_bytes)]
-        return out
+            return [_Split(self.files[0][0], 0, 0)]
+        return [_Split(path, at, min(size, at + self.split_bytes)) for path, size in self.files for at in range(0, max(size, 1), self.split_bytes)]
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        with open_file(partition.path) as f:
             refs, first = _header(_Blocks(f, 0))
             if self.header:
                 yield pa.RecordBatch.from_pydict({"tid": pa.array(range(len(refs)), pa.int32()), "name": [r[0] for r in refs], "length": pa.array([r[1] for r in refs], pa.int64())})
@@ -147,28 +167,19 @@ class BamReader(DataSourceReader):
             begin = first if partition.start == 0 else _find_record(f, partition.start, partition.stop, len(refs))
             if begin is None:
                 return
-            rows: list[tuple] = []
-            for row in _records(_Blocks(f, begin[0], begin[1]), partition.stop, sample):
-                if all(_test(row, *t) for t in self.tests):
-                    rows.append(row)
-                    if len(rows) == 20_000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
-
-
-def _test(row: tuple, column: str, kind: str, value) -> bool:
-    x = row[_COLUMNS.index(column)]
-    if x is None:
-        return False
-    return x == value if kind == "eq" else x > value if kind == "gt" else x >= value if kind == "ge" else x in value
+            for data, at in _record_starts(_Blocks(f, *begin), partition.stop):
+                records = _Records(data, at)
+                keep = np.ones(len(at), bool)
+                for column, kind, value in self.tests:
+                    keep &= _passes(records.fixed(column), kind, value)
+                if keep.any():
+                    yield (records if keep.all() else _Records(data, at[keep])).batch(self.columns, sample)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
-    types = [kinds[c.split()[1]] for c in ALIGNMENTS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_COLUMNS)
+def _passes(x: np.ndarray, kind: str, value) -> np.ndarray:
+    # a missing tid is -1, which is null in the result
+    found = np.isin(x, list(value)) if kind == "in" else x == value if kind == "eq" else x > value if kind == "gt" else x >= value
+    return found & (x >= 0)
 
 
 def _block_size(head: bytes) -> int | None:
@@ -188,19 +199,29 @@ def _block_size(head: bytes) -> int | None:
 class _Blocks:
     """The uncompressed bytes from a block on; ``block`` is the file position of the block of the next byte."""
 
+    #: Bytes of the file that are fetched at a time.
+    AHEAD = 1 << 20
+
     def __init__(self, f, block: int, skip: int = 0):
         self.f, self.next, self.data, self.at = f, block, b"", 0
         self.block = block
+        self.fetched, self.fetched_at = b"", block
         if skip:
             self.take(skip)
 
-    def _more(self) -> bool:
-        self.f.seek(self.next)
-        head = self.f.read(64)
-        size = _block_size(head)
+    def _bytes(self, at: int, n: int) -> bytes:
+        low = at - self.fetched_at
+        if low < 0 or low + n > len(self.fetched):
+            self.f.seek(at)
+            self.fetched, self.fetched_at, low = self.f.read(max(n, self.AHEAD)), at, 0
+        return self.fetched[low : low + n]
+
+    def more(self) -> bool:
+        """Goes on to the next block; False at the end."""
+        size = _block_size(self._bytes(self.next, 64))
         if size is None:
             return False
-        raw = head[:size] + self.f.read(max(0, size - len(head)))
+        raw = self._bytes(self.next, size)
         extra = struct.unpack_from("<H", raw, 10)[0]
         self.block, self.data, self.at = self.next, zlib.decompress(raw[12 + extra : -8], -15), 0
         self.next += size
@@ -211,7 +232,7 @@ class _Blocks:
         parts = []
         while n:
             if self.at == len(self.data):
-                if not self._more():
+                if not self.more():
                     return None
                 continue
             part = self.data[self.at : self.at + n]
@@ -285,29 +306,188 @@ def _follows(blocks: _Blocks, n_refs: int) -> bool:
     return True
 
 
-def _records(blocks: _Blocks, stop: int, sample: str) -> Iterator[tuple]:
-    """The records that begin in a block before file position ``stop``."""
-    while True:
-        block, _ = blocks.here()
-        if block >= stop:
-            return
-        head = blocks.take(4)
-        if head is None:
-            return
-        yield _record(blocks.take(struct.unpack("<i", head)[0]), sample)
-
-
-def _record(body: bytes, sample: str) -> tuple:
-    tid, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, isize = _FIXED.unpack_from(body)
-    at = 32 + n_name
-    qname = body[32 : at - 1].decode()
-    operations = struct.unpack_from(f"<{n_cigar}I", body, at)
-    at += 4 * n_cigar
-    cigar = "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in operations) or "*"
-    span = sum(x >> 4 for x in operations if "MIDNSHP=X"[x & 15] in "MDN=X")
-    packed = body[at : at + (n_seq + 1) // 2]
-    seq = "".join("=ACMGRSVTWYHKDBN"[b >> 4] + "=ACMGRSVTWYHKDBN"[b & 15] for b in packed)[:n_seq] or "*"
-    quality = body[at + len(packed) : at + len(packed) + n_seq]
-    qual = "*" if not n_seq or quality[:1] == b"\xff" else "".join(chr(q + 33) for q in quality)
-    stop = pos + (1 if flag & UNMAPPED else max(1, span))
-    return (sample, qname, flag, None if tid < 0 else tid, pos, stop, mapq, cigar, None if mate < 0 else mate, mate_pos, isize, seq, qual)
+#: Uncompressed bytes that are decoded at a time.
+_CHUNK = 4 << 20
+
+
+def _record_starts(blocks: _Blocks, stop: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Bytes and where in them the bodies of records begin, for the records that begin in a block before file position ``stop``."""
+    held = blocks.data[blocks.at :]
+    if blocks.block >= stop and held:
+        return
+    more = True
+    while more:
+        parts, size = [held], len(held)
+        while size < _CHUNK and blocks.next < stop and (more := blocks.more()):
+            parts.append(blocks.data)
+            size += len(blocks.data)
+        more = more and blocks.next < stop
+        data = b"".join(parts)
+        starts, at = _walk(data)
+        held = data[at:]
+        if starts:
+            yield data, np.array(starts)
+    if held:
+        # the record that the last block begins ends in a later one
+        while (need := 4 if len(held) < 4 else 4 + struct.unpack_from("<i", held)[0]) > len(held):
+            if not blocks.more():
+                return
+            held += blocks.data
+        yield held[:need], np.array([4])
+
+
+def _walk(data: bytes) -> tuple[list[int], int]:
+    starts, at, end = [], 0, len(data)
+    size_at = struct.Struct("<i").unpack_from
+    while at + 4 <= end:
+        after = at + 4 + size_at(data, at)[0]
+        if after > end:
+            break
+        starts.append(at + 4)
+        at = after
+    return starts, at
+
+
+_FIELDS = np.dtype([("tid", "<i4"), ("pos", "<i4"), ("n_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("n_seq", "<i4"), ("mate_tid", "<i4"), ("mate_pos", "<i4"), ("isize", "<i4")])
+_OPERATIONS = np.frombuffer(b"MIDNSHP=X???????", np.uint8)
+_SPANS = np.isin(_OPERATIONS, np.frombuffer(b"MDN=X", np.uint8))
+_BASES = np.frombuffer(b"=ACMGRSVTWYHKDBN", np.uint8)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def _strings(chars: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of ``lengths`` from the characters of all; ``*`` for an empty one."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    found = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(chars)))
+    return pc.if_else(pa.array(lengths == 0), "*", found)
+
+
+class _Records:
+    """Records whose bodies begin at ``at`` in ``data``, decoded a column at a time."""
+
+    def __init__(self, data: bytes, at: np.ndarray):
+        self.data, self.at = np.frombuffer(data, np.uint8), at
+        self.fields = np.ascontiguousarray(self.data[at[:, None] + np.arange(_FIELDS.itemsize)]).view(_FIELDS).ravel()
+        self.cigar_at = at + 32 + self.fields["n_name"]
+        self.seq_at = self.cigar_at + 4 * self.fields["n_cigar"].astype(np.int64)
+        self.qual_at = self.seq_at + (self.fields["n_seq"].astype(np.int64) + 1) // 2
+
+    def fixed(self, name: str) -> np.ndarray:
+        return self.fields["pos" if name == "start" else name]
+
+    def _operations(self) -> np.ndarray:
+        n = self.fields["n_cigar"].astype(np.int64)
+        return np.ascontiguousarray(self.data[_ranges(self.cigar_at, 4 * n)]).view("<u4")
+
+    def column(self, name: str, sample: str) -> pa.Array:
+        fields = self.fields
+        if name == "sample":
+            return pa.array([sample] * len(self.at), pa.string())
+        if name in ("tid", "mate_tid"):
+            return pa.array(fields[name], pa.int32(), mask=fields[name] < 0)
+        if name in ("flag", "mapq"):
+            return pa.array(fields[name].astype(np.int32))
+        if name in ("start", "mate_pos", "isize"):
+            return pa.array(self.fixed(name).astype(np.int64))
+        if name == "stop":
+            operations, n = self._operations(), fields["n_cigar"].astype(np.int64)
+            span = np.bincount(np.repeat(np.arange(len(n)), n), weights=(operations >> 4) * _SPANS[operations & 15], minlength=len(n)).astype(np.int64)
+            return pa.array(fields["pos"] + np.where(fields["flag"] & UNMAPPED, 1, np.maximum(1, span)))
+        if name == "qname":
+            n = fields["n_name"].astype(np.int64) - 1
+            return _strings(self.data[_ranges(self.at + 32, n)], n)
+        if name == "cigar":
+            operations, n = self._operations(), fields["n_cigar"].astype(np.int64)
+            parts = [f"{x}{chr(o)}" for x, o in zip((operations >> 4).tolist(), _OPERATIONS[operations & 15].tolist())]
+            ends = np.cumsum(n).tolist()
+            return pa.array(["".join(parts[b - k : b]) or "*" for b, k in zip(ends, n.tolist())], pa.string())
+        n = fields["n_seq"].astype(np.int64)
+        if name == "seq":
+            within = _ranges(np.zeros(len(n), np.int64), n)
+            packed = self.data[np.repeat(self.seq_at, n) + within // 2]
+            return _strings(_BASES[np.where(within % 2 == 0, packed >> 4, packed & 15)], n)
+        # qualities that weren't kept are bytes of 255
+        lost = (n > 0) & (self.data[np.minimum(self.qual_at, len(self.data) - 1)] == 255)
+        n = np.where(lost, 0, n)
+        return _strings(self.data[_ranges(self.qual_at, n)] + np.uint8(33), n)
+
+    def batch(self, columns: list[str], sample: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.column(c, sample) for c in columns], names=columns)
+
+
+def write_bam(reads: DataFrame, refs: DataFrame, path: str) -> None:
+    """BAM files of reads (the columns of ``read_bam``, in the frame's order) in a folder, one for each partition.
+
+    Each file has the whole header and is moved into place when it is complete, so that a task
+    that runs twice leaves one. The reference dictionary goes to every task.
+    """
+    known = [(r["name"], r["length"]) for r in refs.orderBy("tid").select("name", "length").collect()]
+    shipped = reads.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}.bam"
+        with replacing_file(path, name, str(context.taskAttemptId())) as out:
+            body = bytearray(_bam_header(shipped.value))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    body += _packed_record(row)
+                    while len(body) >= _BLOCK:
+                        out.write(_bgzf(bytes(body[:_BLOCK])))
+                        del body[:_BLOCK]
+            if body:
+                out.write(_bgzf(bytes(body)))
+            out.write(_bgzf(b""))
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    reads.select(*(c for c in _COLUMNS if c != "sample")).mapInArrow(run, "name string").count()
+
+
+#: Bytes of a block that is written; incompressible ones still fit a block's size of 65,536.
+_BLOCK = 65_000
+
+
+def _bgzf(raw: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = packer.compress(raw) + packer.flush()
+    return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(data) + 25) + data + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
+def _bam_header(refs: list[tuple[str, int]]) -> bytes:
+    text = "".join(f"@SQ\tSN:{name}\tLN:{length}\n" for name, length in refs).encode()
+    listed = b"".join(struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\x00" + struct.pack("<i", length) for name, length in refs)
+    return b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)) + listed
+
+
+_NIBBLES = {chr(c): i for i, c in enumerate(_BASES)}
+_CODES = {chr(c): i for i, c in enumerate(_OPERATIONS[:9])}
+_OPERATION = re.compile(r"(\d+)([MIDNSHP=X])")
+
+
+def _packed_record(row: dict) -> bytes:
+    name = (row["qname"] or "*").encode()[:254] + b"\x00"
+    operations = [int(n) << 4 | _CODES[o] for n, o in _OPERATION.findall(row["cigar"] or "")]
+    seq = "" if row["seq"] in (None, "*") else row["seq"]
+    pairs = [_NIBBLES.get(c, 15) for c in seq] + [0] * (len(seq) % 2)
+    packed = bytes(a << 4 | b for a, b in zip(pairs[::2], pairs[1::2]))
+    quality = bytes(ord(c) - 33 for c in row["qual"]) if seq and row["qual"] not in (None, "*") else b"\xff" * len(seq)
+    start = -1 if row["start"] is None else row["start"]
+    number = lambda c, none: none if row[c] is None else row[c]
+    body = _FIXED.pack(number("tid", -1), start, len(name), number("mapq", 255), _bin(start, row["stop"]), len(operations), row["flag"], len(seq), number("mate_tid", -1), number("mate_pos", -1), number("isize", 0))
+    body += name + struct.pack(f"<{len(operations)}I", *operations) + packed + quality
+    return struct.pack("<i", len(body)) + body
+
+
+def _bin(start: int, stop: int | None) -> int:
+    """The bin of the usual index: the smallest of 16 kb to 512 Mb that holds the read."""
+    last = max(start, (stop or start + 1) - 1)
+    for level, shift in ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26)):
+        if start >> shift == last >> shift:
+            return (level + (start >> shift)) & 0xFFFF
+    return 0
