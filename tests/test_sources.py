@@ -41,7 +41,8 @@ def test_annotations(spark, tmp_path):
     assert rows(R.read_regions(spark, gff)) == [("c", 50, 221, "one"), ("c", 59, 70, "c:59-70")]
     assert rows(R.read_gff(spark, gff, prefix=True), "name") == [("one",), ("two",)]
     assert R.read_gff(spark, gff, feature=None).count() == 3
-    assert [r["faults"] for r in R.annotation_faults(R.read_gff(spark, gff), ["CDS"]).collect()] == [["strand"]]
+    strict = {r["line"].split("\t")[8]: r["faults"] for r in R.read_gff_strict(spark, gff).collect()}
+    assert strict == {"Parent=p;ID=one": [], "ID=g": [], "IDX=two": ["strand", "name"]}
     gtf = _write(tmp_path / "x.GTF", 'c\ts\texon\t1001\t2000\t.\t+\t.\ttranscript_id "t"; gene_id "f1";\n')
     assert rows(R.read_regions(spark, gtf, feature="exon", key="gene_id")) == [("c", 1000, 2000, "f1")]
     assert R.region_format("a.bed.gz") == "bed" and R.region_format("a.gff3") == "gff"

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidespan.durable import scratch_folder
 from tidespan.operators.alignments import keep_fragments, keep_reads, read_intervals
 from tidespan.operators.joins import bind_regions
 from tidespan.operators.lengths import whole_references
@@ -16,22 +17,25 @@ from tidespan.operators.multisample import antitarget, sample_matrix, shared_low
 from tidespan.operators.spans import fill_spans, span_summary
 from tidespan.operators.stats import clip_to_regions, count_refs, coverage_to_target, mapped_reads, name_order, ref_stats, region_counts, region_stats, total_reads
 from tidespan.operators.sweep import coverage
-from tidespan.options import DEFAULT_FLAG_MASK, SPAN_FUNCTIONS, InputOptions, OutputOptions
+from tidespan.options import COMPAT_COUNTS, DEFAULT_FLAG_MASK, SPAN_FUNCTIONS, InputOptions, OutputOptions
 from tidespan.session import ship
 from tidespan.sources import sinks
+from tidespan.sources.files import replacing_file
 from tidespan.sources.regions import GFF_ID, GFF_TYPE, read_coverage_bed, read_regions
-from tidespan.sources.sam import read_bam, read_bam_refs, read_sam, read_sam_refs, refuse_cram
+from tidespan.sources.sam import DEPTH_COLUMNS, read_bam, read_bam_refs, read_sam, read_sam_refs, refuse_cram
 
 
 def _alignments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Alignments of all files on the first file's references, the references, the samples in order."""
     refs, found = None, None
-    for path in paths:
+    for i, path in enumerate(paths):
         refuse_cram(path)
+        if path == "-":
+            path = paths[i] = _spooled(spark)
         bam = path.lower().endswith(".bam")
         if refs is None:
             refs = read_bam_refs(spark, path) if bam else read_sam_refs(spark, path)
-        one = read_bam(spark, path) if bam else read_sam(spark, path, refs)
+        one = read_bam(spark, path, DEPTH_COLUMNS) if bam else read_sam(spark, path, refs).select(*DEPTH_COLUMNS)
         found = one if found is None else found.unionByName(one)
     samples = [p.rsplit("/", 1)[-1].split(".")[0] for p in paths]
     if len(set(samples)) < len(samples):
@@ -39,6 +43,15 @@ def _alignments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     return found, refs, samples
 
 
+def _spooled(spark: SparkSession) -> str:
+    """SAM text from the standard input, in a file that every executor can read."""
+    folder = scratch_folder(spark, "stdin")
+    with replacing_file(folder, "stdin.sam", "0") as out:
+        while part := sys.stdin.buffer.read(1 << 20):
+            out.write(part)
+    return f"{folder}/stdin.sam"
+
+
 def _target(spark: SparkSession, args: argparse.Namespace, refs: DataFrame) -> DataFrame:
     kind = "gff" if args.gff else "gtf" if args.gtf else None
     return bind_regions(read_regions(spark, args.regions, kind, feature=args.type, key=args.id, separator=args.separator), refs)
@@ -82,7 +95,8 @@ def _coverage(spark: SparkSession, args: argparse.Namespace) -> None:
 def _counts(spark: SparkSession, args: argparse.Namespace) -> None:
     found, refs, samples = _alignments(spark, args.alignments)
     reads = keep_fragments(found) if args.paired else found
-    intervals = read_intervals(reads, refs, InputOptions(args.mapq, args.flag))
+    least = COMPAT_COUNTS.min_mapq if args.compat else args.mapq
+    intervals = read_intervals(reads, refs, InputOptions(least, args.flag))
     target = _target(spark, args, refs)
     counts = region_counts(intervals, target, samples=samples, total_reads=total_reads(found) if args.rpkm else None, strict=args.strict, compat=args.compat)
     if len(samples) > 1:
@@ -107,7 +121,7 @@ def _totarget(spark: SparkSession, args: argparse.Namespace) -> None:
     numbered = names.select(F.xxhash64("chrom").alias("tid"), "chrom")
     on = lambda df: df.join(numbered, "chrom")
     found = coverage_to_target(on(cover), on(raw), normalise=args.norm_len)
-    _write(sinks.target_lines(found, value="per_position" if args.norm_len else "bases"), args.out)
+    _write(sinks.target_lines(found, value="per_position" if args.norm_len else "bases", regions=raw if args.bed_output else None), args.out)
 
 
 def _regions(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -141,7 +155,7 @@ def _parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=about, description=about)
         p.set_defaults(run=run)
         if files:
-            p.add_argument("alignments", nargs=files, help="SAM or BAM files")
+            p.add_argument("alignments", nargs=files, help="SAM or BAM files; - reads SAM from the standard input")
         if filters:
             p.add_argument("-Q", "--mapq", type=int, default=0)
             p.add_argument("-F", "--flag", type=int, default=DEFAULT_FLAG_MASK)
@@ -181,6 +195,7 @@ def _parser() -> argparse.ArgumentParser:
     p = command("totarget", _totarget, "Coverage text summed by region.", files=None, filters=False, regions=True)
     p.add_argument("coverage")
     p.add_argument("-l", "--norm-len", action="store_true")
+    p.add_argument("-b", "--bed-output", action="store_true")
 
     p = command("regions", _regions, "A region file as BED, bound to references, or what it leaves uncovered.", files="*", filters=False, regions=True)
     p.add_argument("-a", "--antitarget", action="store_true")

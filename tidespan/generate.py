@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidespan.durable import numbered
+from tidespan.functions.alignments import reference_length
+
 
 def _draw(name: str, seed: int, below: Column | int) -> Column:
     """A whole number from 0 up to ``below``, from the row's id."""
     return F.pmod(F.xxhash64("id", F.lit(name), F.lit(seed)), below if isinstance(below, Column) else F.lit(below))
 
 
+def random_cigar(size: Column, seed: int) -> Column:
+    """A CIGAR whose query length is ``size``: matches, cut by an insertion or a deletion or with a clipped end where the size allows."""
+    third = F.expr("size div 3")
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    gap = _draw("gap", seed, 9) + 1
+    kind = _draw("kind", seed, 5)
+    return (
+        F.when((size < 40) | (kind == 0), text(size, "M"))
+        .when(kind == 1, text(third, "M", gap, "I", size - third - gap, "M"))
+        .when(kind == 2, text(third, "M", gap, "D", size - third, "M"))
+        .when(kind == 3, text(third, "M", gap, "I", third, "M", gap, "D", size - third * 2 - gap, "M"))
+        .otherwise(text(size - gap, "M", gap, "S"))
+    )
+
+
 def _reads(rows: DataFrame, sample: str = "sim") -> DataFrame:
     return rows.select(
         F.lit(sample).alias("sample"), F.concat(F.lit("read_"), F.col("id").cast("string")).alias("qname"), F.col("flag").cast("int").alias("flag"), F.col("tid").cast("int").alias("tid"), "start", "stop", F.lit(60).alias("mapq"),
-        F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M")).alias("cigar"), F.lit(None).cast("int").alias("mate_tid"), F.lit(None).cast("bigint").alias("mate_pos"), F.lit(0).cast("bigint").alias("isize"), F.lit("*").alias("seq"), F.lit("*").alias("qual"),
+        (F.col("made") if "made" in rows.columns else F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M"))).alias("cigar"), F.lit(None).cast("int").alias("mate_tid"), F.lit(None).cast("bigint").alias("mate_pos"), F.lit(0).cast("bigint").alias("isize"), F.lit("*").alias("seq"), F.lit("*").alias("qual"),
     )
 
 
@@ -32,13 +50,17 @@ def refs_from_reads(reads: DataFrame, *, least: int = 0, margin: int = 100) -> D
     return lengths.select((F.row_number().over(Window.orderBy("chrom")) - 1).cast("int").alias("tid"), F.col("chrom").alias("name"), "length")
 
 
-def random_reads(spark: SparkSession, length: int, depth: float, *, shortest: int = 1000, longest: int = 10000, seed: int = 1, clones: int = 1) -> DataFrame:
-    """Reads of random length at random places of one reference, up to a mean depth."""
+def random_reads(spark: SparkSession, length: int, depth: float, *, shortest: int = 1000, longest: int = 10000, seed: int = 1, clones: int = 1, cigars: bool = False) -> DataFrame:
+    """Reads of random length at random places of one reference, up to a mean depth; with ``cigars`` random ones, of which a read spans what they say."""
     n = int(length * depth / ((shortest + longest) / 2) / clones)
     size = _draw("size", seed, longest - shortest + 1) + shortest
     rows = spark.range(n).withColumn("size", F.least(size, F.lit(length))).withColumn("start", _draw("start", seed, F.col("size") * 0 + length - F.col("size") + 1))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(clones)))).withColumn("id", F.col("id") * clones + F.col("copy") - 1)
-    return _reads(rows.withColumn("stop", F.col("start") + F.col("size")).withColumn("tid", F.lit(0)).withColumn("flag", F.when(_draw("strand", seed, 2) == 1, 16).otherwise(0)))
+    rows = rows.withColumn("tid", F.lit(0)).withColumn("flag", F.when(_draw("strand", seed, 2) == 1, 16).otherwise(0))
+    if not cigars:
+        return _reads(rows.withColumn("stop", F.col("start") + F.col("size")))
+    rows = rows.withColumn("made", random_cigar(F.col("size"), seed))
+    return _reads(rows.withColumn("stop", F.least(F.lit(length), F.col("start") + reference_length(F.col("made")))))
 
 
 def targeted_reads(regions: DataFrame, per_region: int, *, size: int = 100, seed: int = 1) -> DataFrame:
@@ -70,6 +92,6 @@ def flag_reads(spark: SparkSession, flags: list[int]) -> DataFrame:
     return _reads(rows)
 
 
-def every_nth(features: DataFrame, n: int, key: str) -> DataFrame:
-    """About one in ``n`` features, chosen by the hash of ``key``: a sampling operator."""
-    return features.where(F.pmod(F.xxhash64(key), F.lit(n)) == 0)
+def every_nth(features: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The ``n``-th feature in the order of ``order``, and each ``n``-th after it: a sampling operator."""
+    return numbered(features, order, "__number").where(F.col("__number") % n == n - 1).drop("__number")

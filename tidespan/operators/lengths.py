@@ -51,7 +51,7 @@ def rename_references(records: DataFrame, old: DataFrame, new: DataFrame, column
 
 
 def rewrite_sequences(reads: DataFrame, how: str, *, rename: bool = False) -> DataFrame:
-    """Erases (``erase``), masks (``mask``) or shuffles (``shuffle``) the bases; ``rename`` numbers the reads by name."""
+    """Erases (``erase``), masks (``mask``) or shuffles (``shuffle``) the bases; ``rename`` gives the reads names that say nothing."""
     seq = F.col("seq")
     changed = {"erase": F.when(seq.isNotNull(), F.lit("*")), "mask": F.repeat(F.lit("N"), F.length(seq)), "shuffle": F.array_join(F.shuffle(F.regexp_extract_all(seq, F.lit("."), F.lit(0))), "")}
     if how not in changed:
@@ -59,6 +59,5 @@ def rewrite_sequences(reads: DataFrame, how: str, *, rename: bool = False) -> Da
     out = reads.withColumn("seq", changed[how])
     if not rename:
         return out
-    # a number from the name's hash: no order over all names is needed
-    return out.withColumn("qname", F.concat(F.lit("read_"), F.lower(F.hex(F.xxhash64("qname")))))
-
+    # a digest of 128 bits: mates keep one name, no order over all names is needed, and two names won't meet
+    return out.withColumn("qname", F.concat(F.lit("read_"), F.md5("qname")))

@@ -38,6 +38,10 @@ class InputOptions:
             raise ValueError("overhang is clamp or error")
 
 
+#: What the older counting tool lets through: the threshold is not looked at, and quality 0 never counts.
+COMPAT_COUNTS = InputOptions(min_mapq=1)
+
+
 @dataclass(frozen=True)
 class OutputOptions:
     """How depth is written: ``span`` 0 gives runs, else one ``op`` value a span."""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidespan.durable import durable
+from tidespan.durable import durable, scratch_folder
 from tidespan.functions.alignments import has_flag, query_length, reference_length
 from tidespan.functions.regions import attribute, default_name
 from tidespan.operators.alignments import keep_fragments, keep_reads, read_intervals
@@ -262,7 +260,7 @@ def streamed_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """``coverage_runs`` by the stateful streaming operator, in batches of the order of start."""
     known = refs(spark, folder)
     reads = durable(_pooled(spark, folder).select("sample", "tid", "start", "stop", "length"))
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     schema = "sample string, tid int, start bigint, stop bigint, length bigint"
     bounds = [0, REF_LENGTH // 3, 2 * REF_LENGTH // 3, REF_LENGTH]
     batches = [reads.where(F.col("start").between(a, b - 1)) for a, b in zip(bounds, bounds[1:])]

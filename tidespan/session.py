@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tidespan-")) / "tidespan.zip"
+    # the driver's own copy; Spark serves it to the executors
+    folder = tempfile.mkdtemp(prefix="tidespan-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "tidespan.zip"
     with zipfile.ZipFile(target, "w") as out:
         for source in sorted(here.rglob("*.py")):
             out.write(source, source.relative_to(here.parent))

@@ -7,11 +7,13 @@ readers gives those lines instead.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidespan.functions.regions import attribute, default_name
+from tidespan.sources.feature_types import FEATURE_TYPES
 
 #: Feature types and keys that name a region, by default.
 GFF_TYPE, GFF_ID = "CDS", "ID"
@@ -69,16 +71,41 @@ def read_gtf(spark: SparkSession, path: str, *, feature: str | None = GTF_TYPE,
     return _read_annotation(spark, path, feature, key, separator, prefix, corrupt)
 
 
-def annotation_faults(features: DataFrame, known_types: list[str]) -> DataFrame:
-    """``read_gff`` rows that break the format: unknown type, strand or phase, with ``faults``."""
+def read_gff_strict(spark: SparkSession, path: str, *, key: str = GFF_ID, known_types: list[str] | None = None) -> DataFrame:
+    """Every line of data of GFF3 files with its ``faults``: file, line, chrom, type, start, stop, strand, phase, name, faults.
+
+    Faults: ``header`` (no ``##gff-version`` or ``##sequence-region`` line before it in its file),
+    ``columns`` (not nine), ``type`` (none of ``known_types``, default FEATURE_TYPES, nor an ``SO:``
+    number), ``bounds`` (no whole numbers, or the start after the end), ``strand``, ``phase``,
+    ``attributes`` (a part that isn't one ``key=value``) and ``name`` (no ``key``, or an empty one). Rows without
+    faults are the file's features; starts are 0-based. What follows ``##FASTA`` isn't read.
+    """
+    known = FEATURE_TYPES if known_types is None else known_types
+    lines = _lines(spark, path)
+    first = lambda *starts: F.min(F.when(reduce(lambda a, b: a | b, (F.col("line").startswith(s) for s in starts)), F.col("place")))
+    marks = lines.groupBy("file").agg(first("##FASTA").alias("cut"), first("##gff-version", "##sequence-region").alias("head"))
+    data = lines.join(marks, "file").where(F.col("cut").isNull() | (F.col("place") < F.col("cut"))).where(~(F.col("line").rlike(r"^\s*$") | F.col("line").startswith("#")))
+    f = F.split("line", "\t")
+    field = lambda i: F.coalesce(F.get(f, i), F.lit(""))
+    parts = F.split(F.regexp_replace(field(8), ";+$", ""), ";")
+    values = F.transform(F.filter(parts, lambda x: x.startswith(f"{key}=")), lambda x: F.substring(x, len(key) + 2, 1 << 30))
+    rows = data.select(
+        "file", "line", field(0).alias("chrom"), field(2).alias("type"), (_number(field(3)) - 1).alias("start"), _number(field(4)).alias("stop"), field(6).alias("strand"), field(7).alias("phase"),
+        F.nullif(F.get(values, 0), F.lit("")).alias("name"), F.size(f).alias("fields"), (F.col("head").isNotNull() & (F.col("head") < F.col("place"))).alias("headed"), F.forall(parts, lambda x: x.rlike("^[^=]*=[^=]*$")).alias("paired"),
+    )
     faults = F.array_compact(
         F.array(
-            F.when(~F.col("type").isin(known_types), "type"),
-            F.when(~F.col("strand").isin("+", "-", ".", "?"), "strand"),
-            F.when(~F.col("phase").isin("0", "1", "2", ".") | ((F.col("type") == "CDS") & (F.col("phase") == ".")), "phase"),
+            F.when(~F.col("headed"), "header"),
+            F.when(F.col("fields") != 9, "columns"),
+            F.when(~(F.col("type").isin(known) | F.col("type").startswith("SO:")), "type"),
+            F.when(F.col("start").isNull() | F.col("stop").isNull() | (F.col("start") >= F.col("stop")), "bounds"),
+            F.when(~F.col("strand").isin("+", "-", "."), "strand"),
+            F.when(~F.col("phase").isin("0", "1", "2", "."), "phase"),
+            F.when(~F.col("paired"), "attributes"),
+            F.when(F.col("name").isNull(), "name"),
         )
     )
-    return features.withColumn("faults", faults).where(F.size("faults") > 0)
+    return rows.select("file", "line", "chrom", "type", "start", "stop", "strand", "phase", "name", faults.alias("faults"))
 
 
 def region_format(path: str, format: str | None = None) -> str:
@@ -103,9 +130,14 @@ def read_regions(spark: SparkSession, path: str, format: str | None = None, *, f
     return read(spark, path, feature=feature, key=key, separator=separator, prefix=prefix).select("chrom", "start", "stop", "name")
 
 
-def read_coverage_bed(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, start, stop, cov`` of coverage text."""
-    return spark.read.csv(path, sep="\t", schema="chrom string, start bigint, stop bigint, cov bigint", comment="#").where("chrom is not null and start is not null and stop is not null and cov is not null")
+def read_coverage_bed(spark: SparkSession, path: str, *, corrupt: bool = False) -> DataFrame:
+    """``chrom, start, stop, cov`` of coverage text; with ``corrupt`` the lines that aren't four such columns."""
+    data = _lines(spark, path).where(~(F.col("line").rlike(r"^\s*$") | F.col("line").startswith("#") | F.col("line").startswith("track ") | F.col("line").startswith("browser ")))
+    f = F.split("line", "\t")
+    parsed = data.select("file", "line", F.get(f, 0).alias("chrom"), _number(F.get(f, 1)).alias("start"), _number(F.get(f, 2)).alias("stop"), _number(F.get(f, 3)).alias("cov"))
+    good = (F.col("chrom") != "") & (F.col("start") <= F.col("stop")) & F.col("cov").isNotNull()
+    good = F.coalesce(good, F.lit(False))
+    return parsed.where(~good).select("file", "line") if corrupt else parsed.where(good).select("chrom", "start", "stop", "cov")
 
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
@@ -124,8 +156,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``name, description, sequence`` of FASTA files."""
-    records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    """``name, description, sequence`` of FASTA files.
+
+    A record begins with a ``>`` that is first in its line; others belong to the header they
+    stand in. A sequence is one string, of up to 2**31 - 1 bases.
+    """
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"\A\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"\A([^\r\n]*)", 1)
     return records.select(
         F.regexp_extract(head, r"^(\S*)", 1).alias("name"),

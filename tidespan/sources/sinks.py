@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidespan.functions.regions import fixed
+from tidespan.operators.spans import spread_spans
 
 
 def _text(*columns: Column) -> Column:
@@ -61,9 +62,20 @@ def ref_count_lines(matrix: DataFrame, *, tag: str = "ViralSequence", multiqc: b
     return report_lines(matrix, comments=MULTIQC if multiqc else None, first=tag)
 
 
-def target_lines(found: DataFrame, *, value: str = "bases") -> DataFrame:
-    """Name and value of ``coverage_to_target``."""
-    return found.select(F.lit(1).alias("o1"), F.col("name").alias("o2"), _text(F.col("name"), F.col(value)).alias("value"))
+def target_lines(found: DataFrame, *, value: str = "bases", regions: DataFrame | None = None) -> DataFrame:
+    """Name and value of ``coverage_to_target``; with ``regions`` (chrom, start, stop, name) a BED line for each of them, all parts of a name with its value."""
+    if regions is None:
+        return found.select(F.lit(1).alias("o1"), F.col("name").alias("o2"), _text(F.col("name"), F.col(value)).alias("value"))
+    parts = regions.select("chrom", "start", "stop", "name").join(found.select("name", F.col(value).alias("found")), "name", "left")
+    return parts.select(F.col("chrom").alias("o1"), F.col("start").alias("o2"), _text(*(F.col(c) for c in ("chrom", "start", "stop", "name", "found"))).alias("value"))
+
+
+def mean_lines(matrix: DataFrame, samples: list[str], precision: int = 2) -> DataFrame:
+    """The matrix of ``mean_depths`` with rounded means, ``#Total`` last."""
+    cells = [fixed(F.col(s), precision) for s in samples]
+    rows = matrix.select(F.when(F.col("name") == "#Total", 2).otherwise(1).alias("o1"), F.col("name").alias("o2"), _text(F.col("name"), *cells).alias("value"))
+    head = matrix.sparkSession.createDataFrame([(0, "", "\t".join(["Sequence", *samples]))], "o1 int, o2 string, value string")
+    return head.unionByName(rows)
 
 
 def region_lines(regions: DataFrame, *, bound: bool = False) -> DataFrame:
@@ -80,10 +92,26 @@ def gtf_lines(regions: DataFrame, *, feature: str = "exon", source: str = "tides
     return regions.select(F.col("chrom").alias("o1"), F.col("start").alias("o2"), line.alias("value"))
 
 
+#: Bases of a line of FASTA.
+FASTA_WIDTH = 64
+
+
 def fasta_lines(refs: DataFrame, *, seed: int | None = None) -> DataFrame:
-    """A record of N, or of random bases with ``seed``, for each reference."""
-    bases = F.repeat(F.lit("N"), F.col("length").cast("int")) if seed is None else F.translate(F.randstr(F.col("length").cast("int"), F.lit(seed)), "".join(chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)]), ("ACGT" * 16)[:62])
-    return refs.select(F.col("tid").alias("o1"), F.lit(0).alias("o2"), F.concat(F.lit(">"), "name", F.lit("\n"), bases).alias("value"))
+    """A record of N, or of random bases with ``seed``, for each reference; a row is a line, so no sequence is one value.
+
+    A base is two bits of a digest of the reference's name, the seed and the line's number.
+    """
+    lines = F.expr(f"(length + {FASTA_WIDTH - 1}) div {FASTA_WIDTH}")
+    spread = refs.where(F.col("length") > 0).select("tid", "name", "length", F.lit(0).cast("bigint").alias("first"), (lines - 1).alias("last"))
+    spread = spread_spans(spread).withColumnRenamed("span", "line")
+    width = F.least(F.lit(FASTA_WIDTH), F.col("length") - F.col("line") * FASTA_WIDTH).cast("int")
+    if seed is None:
+        bases = F.repeat(F.lit("N"), width)
+    else:
+        part = lambda k: F.md5(F.concat_ws(":", "name", F.lit(str(seed)), F.col("line").cast("string"), F.lit(str(k))))
+        bases = F.substring(F.translate(F.concat(part(0), part(1)), "0123456789abcdef", "ACGT" * 4), F.lit(1), width)
+    head = refs.select(F.col("tid").alias("o1"), F.lit(-1).cast("bigint").alias("o2"), F.concat(F.lit(">"), "name").alias("value"))
+    return head.unionByName(spread.select(F.col("tid").alias("o1"), F.col("line").alias("o2"), bases.alias("value")))
 
 
 def fastq_lines(reads: DataFrame) -> DataFrame:
