@@ -12,6 +12,7 @@ brought together afterwards.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,23 +45,36 @@ class IntervalMap:
         self.starts: list[int] = list(starts)
         self.stops: list[int] = list(stops)
 
-    def insert(self, start: int, stop: int) -> bool:
-        """Adds [start, stop); an empty or inverted one adds nothing. Whether anything changed."""
+    def insert(self, start: int, stop: int, changes: Counter | None = None) -> bool:
+        """Adds [start, stop); an empty or inverted one adds nothing. Whether anything changed.
+
+        ``changes`` is told of the periods and gaps that vanish (-1) and that are new (1).
+        """
         if stop <= start:
             return False
         starts, stops = self.starts, self.stops
         low = bisect_left(stops, start)  # the first that reaches start
         high = bisect_right(starts, stop)  # the first beyond stop
+        if high - low == 1 and starts[low] <= start and stops[low] >= stop:
+            return False
+        if changes is not None:
+            changes.subtract(self._near(low, high))
         if low == high:
             starts.insert(low, start)
             stops.insert(low, stop)
-            return True
-        if high - low == 1 and starts[low] <= start and stops[low] >= stop:
-            return False
-        starts[low:high] = [min(start, starts[low])]
-        stops[low:high] = [max(stop, stops[high - 1])]
+        else:
+            starts[low:high] = [min(start, starts[low])]
+            stops[low:high] = [max(stop, stops[high - 1])]
+        if changes is not None:
+            changes.update(self._near(low, low + 1))
         return True
 
+    def _near(self, low: int, high: int) -> list[tuple[str, int, int]]:
+        """The periods ``low`` to ``high`` - 1 and the gaps that touch them, or that between ``low`` - 1 and ``low`` if there are none."""
+        starts, stops = self.starts, self.stops
+        periods = [("period", starts[i], stops[i]) for i in range(low, high)]
+        return periods + [("gap", stops[i - 1], starts[i]) for i in range(max(low, 1), min(high, len(starts) - 1) + 1)]
+
     def gaps(self) -> Iterator[tuple[int, int]]:
         return zip(self.stops, self.starts[1:])
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from tidespan.operators.spans import spread_spans
 from tidespan.options import SPAN_FUNCTIONS
 
 _RESULT = "sample string, tid int, start bigint, stop bigint, cov bigint"
-_STATE = "position bigint, run_start bigint, depth bigint, held_start bigint, held_depth bigint, ends array<bigint>"
+_STATE = "position bigint, run_start bigint, depth bigint, pending bigint, ends array<bigint>"
 
 
 def stream_coverage(intervals: DataFrame, *, late: str = "error") -> DataFrame:
@@ -24,48 +24,36 @@ def stream_coverage(intervals: DataFrame, *, late: str = "error") -> DataFrame:
     order will do. A run is given out as soon as a start beyond it was seen. An interval that
     starts before an earlier batch's last start raises, or is left out with ``late="drop"``.
     A sentinel with start = stop = length ends a reference: it flushes the last runs, and
-    alone gives an empty reference its run of zero. State: the last start, the open run and the
-    ends of the open intervals.
+    alone gives an empty reference its run of zero. State: the last start, how many intervals
+    begin there, the open run, and the ends of the open intervals. Of a batch, a task holds two
+    numbers an interval of its key; ``maxFilesPerTrigger`` of the source bounds them.
     """
     if late not in ("error", "drop"):
         raise ValueError("late is error or drop")
 
     def sweep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        position, run_start, depth, held_start, held_depth, ends = state.get if state.exists else (0, 0, 0, -1, 0, [])
-        ends = list(ends)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["start", "stop"])
-        end_of_reference = int(rows["length"].iloc[-1])
-        out: list[list[int]] = [[held_start, run_start, held_depth]] if held_start >= 0 else []
-
-        def change(at: int, to: int) -> None:
-            nonlocal run_start, depth
-            if at > run_start:
-                if out and out[-1][1:] == [run_start, depth]:
-                    out[-1][1] = at
-                else:
-                    out.append([run_start, at, depth])
-                run_start = at
-            depth = to
-
-        for start, stop in rows[["start", "stop"]].itertuples(index=False):
-            if start < position:
-                if late == "error":
-                    raise ValueError(f"coverage went backwards on {key}: {start} after {position}")
-                continue
-            while ends and ends[0] <= start:
-                change(heappop(ends), depth - 1)
-            position = start
-            if start < stop:
-                change(start, depth + 1)
-                heappush(ends, min(stop, end_of_reference))
-            elif start == end_of_reference:
-                change(start, 0)
-        # a run that ends where the next batch may change the depth again is held back
-        held_start, held_depth = -1, 0
-        if out and position < end_of_reference and out[-1][1] == run_start and (run_start == position or out[-1][2] == depth):
-            held_start, _, held_depth = out.pop()
-        state.update((int(position), int(run_start), int(depth), int(held_start), int(held_depth), [int(e) for e in ends]))
-        yield pd.DataFrame([(*key, *run) for run in out], columns=["sample", "tid", "start", "stop", "cov"])
+        before, run_start, depth, pending, ends = state.get if state.exists else (0, 0, 0, 0, [])
+        taken = [(rows["start"].to_numpy(np.int64), rows["stop"].to_numpy(np.int64), int(rows["length"].iloc[0])) for rows in batches if len(rows)]
+        starts, stops, length = np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken]), taken[0][2]
+        if len(late_starts := starts[starts < before]) and late == "error":
+            raise ValueError(f"coverage went backwards on {key}: {late_starts[0]} after {before}")
+        stops, starts = stops[starts >= before], starts[starts >= before]
+        position = int(starts.max()) if len(starts) else before
+        real = starts < stops
+        begins = np.concatenate([np.full(pending, before), starts[real]])
+        ends = np.concatenate([np.array(ends, np.int64), np.minimum(stops[real], length)])
+        # what lies at the last start may still change with the next batch
+        done, over = begins < position, ends < position
+        at, inverse = np.unique(np.concatenate([begins[done], ends[over]]), return_inverse=True)
+        change = np.bincount(inverse, weights=np.concatenate([np.ones(done.sum()), -np.ones(over.sum())]), minlength=len(at)).astype(np.int64)
+        at, change = at[change != 0], change[change != 0]
+        levels = depth + np.concatenate([[0], np.cumsum(change)])
+        edges = np.concatenate([[run_start], at])
+        if position == length:
+            edges, levels = np.append(edges, length), np.append(levels, 0)
+        whole = edges[1:] > edges[:-1]
+        state.update((position, int(edges[-1]), int(levels[-1]), int((~done).sum()), [int(e) for e in ends[~over]]))
+        yield pd.DataFrame({"sample": key[0], "tid": key[1], "start": edges[:-1][whole], "stop": edges[1:][whole], "cov": levels[:-1][whole]}, columns=["sample", "tid", "start", "stop", "cov"])
 
     return intervals.groupBy("sample", "tid").applyInPandasWithState(sweep, _RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,19 +25,13 @@ def stream_periods(intervals: DataFrame, keys: list[str]) -> DataFrame:
     kinds = [intervals.schema[k] for k in keys]
     result = T.StructType([*kinds, T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("change", T.IntegerType())])
 
-    def listed(held: IntervalMap) -> set[tuple]:
-        return {("period", a, b) for a, b in zip(held.starts, held.stops)} | {("gap", a, b) for a, b in held.gaps()}
-
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = IntervalMap(*state.get) if state.exists else IntervalMap()
-        before = listed(held)
+        held, changes = IntervalMap(*state.get) if state.exists else IntervalMap(), Counter()
         for rows in batches:
             for a, b in zip(rows["start"].tolist(), rows["stop"].tolist()):
-                held.insert(int(a), int(b))
-        after = listed(held)
+                held.insert(int(a), int(b), changes)
         state.update((held.starts, held.stops))
-        changed = [(*key, *row, -1) for row in sorted(before - after)] + [(*key, *row, 1) for row in sorted(after - before)]
-        yield pd.DataFrame(changed, columns=result.names)
+        yield pd.DataFrame([(*key, *row, change) for row, change in sorted(changes.items()) if change], columns=result.names)
 
     slim = intervals.select(*keys, F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop")).where(F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.col("start") < F.col("stop")))
     for k in keys:
