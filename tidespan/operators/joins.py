@@ -102,6 +102,19 @@ def _semi(left: DataFrame, right: DataFrame, on: list[str], end: Column, meet: C
     return l.join(r, [*same, overlap], "left_semi").drop("__size", "__bin")
 
 
+#: Rows of a reference dictionary (a number and a length) that go to every task at most.
+MOST_BROADCAST = 1_000_000
+
+
+def checked_broadcast(few: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``few`` marked for a broadcast if it has at most ``most`` rows, which are counted no further than that.
+
+    Spark knows no size of what comes from a header or from Python, and would shuffle the other side.
+    """
+    counted = few.limit(most + 1).count()
+    return F.broadcast(few) if counted <= most else few
+
+
 def strictly_meets(start: Column, stop: Column, region_start: Column, region_stop: Column) -> Column:
     """The older counting predicate: reads that share a bound with the region and aren't inside it don't count, nor do those equal to it."""
     inside = (start > region_start) & (start < region_stop)
