@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidespan.functions.regions import Bands
 from tidespan.operators.alignments import assert_sorted, keep_fragments, read_intervals
-from tidespan.operators.joins import bind_regions, interval_join
+from tidespan.operators.joins import bin_classes, bind_regions, interval_join
 from tidespan.operators.multisample import antitarget, compare_counts, intersect_samples, mean_depths, shared_low_coverage, total_delta, wide_report
 from tidespan.operators.spans import fill_spans, span_summary
 from tidespan.operators.stats import clip_to_regions, count_reads, coverage_to_target, mapped_reads, region_coordinates, region_counts, region_stats
-from tidespan.operators.sweep import coverage
+from tidespan.operators.sweep import coverage, merge_equal_runs
 from tidespan.options import InputOptions, OutputOptions
 from tidespan.plans import coverage as plans
 
@@ -260,3 +260,69 @@ def test_required_order_of_reads(spark):
     assert rows(read_intervals(found, known, options), "tid", "start") == [(0, 10), (0, 30), (1, 5)]
     with pytest.raises(Exception, match="coverage went backwards"):
         read_intervals(found.withColumn("at", -F.col("at")), known, options).collect()
+
+
+def test_more_references_than_a_driver_should_list(spark):
+    refs = spark.range(1_500_000).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("r"), "id").alias("name"), F.lit(10).cast("bigint").alias("length"))
+    reads = spark.createDataFrame([("s", 0, t, 2, 5, 60, 0) for t in (3, 1_499_999)], "sample string, flag int, tid int, start bigint, stop bigint, mapq int, isize bigint")
+    runs = coverage(read_intervals(reads, refs), refs, samples=["s"])
+    assert runs.count() == 1_500_000 + 4
+    assert rows(runs.where("tid = 3"), "start", "stop", "cov") == [(0, 2, 0), (2, 5, 1), (5, 10, 0)]
+
+
+def test_samples_in_and_out_of_the_plan(spark, monkeypatch):
+    refs = spark.createDataFrame([(0, "x", 10)], "tid int, name string, length bigint")
+    reads = spark.createDataFrame([(s, 0, 0, 1, 3, 60, 0) for s in ("a", None, "other")], "sample string, flag int, tid int, start bigint, stop bigint, mapq int, isize bigint")
+    want = [("a", 0, 1, 0), ("a", 1, 3, 1), ("a", 3, 10, 0), ("b", 0, 10, 0), (None, 0, 1, 0), (None, 1, 3, 1), (None, 3, 10, 0)]
+    for most in (64, 0):
+        monkeypatch.setattr("tidespan.operators.sweep._IN_PLAN", most)
+        assert rows(coverage(read_intervals(reads, refs), refs, samples=["a", "b", None]), "sample", "start", "stop", "cov") == sorted(want, key=repr)
+    assert coverage(read_intervals(reads.limit(0), refs), refs).count() == 0
+
+
+@pytest.mark.parametrize("touching", [False, True])
+def test_joins_over_all_lengths_equal_brute_force(spark, touching):
+    rng = random.Random(5)
+    side = lambda n, longest: [(rng.choice([0, 1, None]), a, a + rng.choice([0, 1, rng.randrange(longest)])) for a in (rng.randrange(200_000) for _ in range(n))]
+    a, b = side(300, 3000) + [(0, None, 5), (0, 0, 10**9)], side(200, 500) + side(20, 150_000) + [(1, 5, 10**8), (1, 9, None)]
+    left = spark.createDataFrame([(i, *x) for i, x in enumerate(a)] * 2, "i int, tid int, start bigint, stop bigint").repartition(3)
+    right = spark.createDataFrame([(i, *x) for i, x in enumerate(b)], "j int, tid int, start bigint, stop bigint")
+
+    def meet(x, y):
+        if None in x or None in y or x[0] != y[0]:
+            return False
+        if touching:
+            return x[1] <= y[2] and y[1] <= x[2]
+        return x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2]
+
+    pairs = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if meet(x, y))
+    assert rows(interval_join(left, right, ["tid"], touching=touching), "i", "j") == sorted(pairs * 2, key=repr)
+    assert rows(interval_join(left, right, ["tid"], touching=touching, how="semi"), "i") == sorted([(i,) for i in {i for i, _ in pairs}] * 2, key=repr)
+
+
+def test_one_giant_leaves_the_bins_of_the_others_alone(spark):
+    many = spark.range(2000).select((F.col("id") * 1000).alias("start"), (F.col("id") * 1000 + 100).alias("stop"))
+    assert bin_classes(many) == [7] and bin_classes(many.unionByName(spark.range(1).select(F.col("id").alias("start"), F.lit(2 * 10**8).cast("bigint").alias("stop")))) == [7, 29]
+
+
+def test_runs_fuse_across_tiles(spark):
+    data = [("s", a, a + 5, 1 if a < 60 else 2) for a in range(0, 100, 5)] + [("t", 0, 3, 1), ("t", 4, 9, 1), ("t", 9, 12, 1)]
+    runs = spark.createDataFrame(data, "k string, start bigint, stop bigint, v int").repartition(4)
+    for tile in (7, 1 << 20):
+        assert rows(merge_equal_runs(runs, ["k"], ["v"], tile=tile)) == [("s", 0, 60, 1), ("s", 60, 100, 2), ("t", 0, 3, 1), ("t", 4, 12, 1)]
+
+
+def test_long_runs_are_spread_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr("tidespan.operators.spans._CUT", 4)
+    refs = spark.createDataFrame([(0, "x", 1001)], "tid int, name string, length bigint")
+    runs = spark.createDataFrame([("s", 0, 0, 995, 3), ("s", 0, 995, 1001, 0)], "sample string, tid int, start bigint, stop bigint, cov bigint")
+    found = {r["span"]: r["cov"] for r in span_summary(runs, refs, 10, "min").collect()}
+    assert found == {**{i: 3 for i in range(99)}, 99: 0, 100: 0}
+    assert fill_spans(span_summary(runs, refs, 10), refs, 10, ["s", "t"]).count() == 202
+
+
+def test_out_of_order_reads_are_told(spark):
+    reads = spark.range(400, numPartitions=3).select(F.lit("s").alias("sample"), (F.col("id") % 2).cast("int").alias("tid"), F.col("id").alias("place"), F.when(F.col("id") == 250, 3).otherwise(F.col("id")).alias("start"))
+    assert assert_sorted(reads.where("place <> 250"), "place").count() == 399
+    with pytest.raises(Exception, match="went backwards on reference 0"):
+        assert_sorted(reads, "place").collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidespan import generate
+from tidespan.durable import numbered
 from tidespan.functions.alignments import flag_bits, phred_text, phred_values, query_length, reference_length, sample_name, sample_name_long, swap_strand
 from tidespan.functions.regions import attribute, fixed, size_in_bases
 from tidespan.operators.alignments import read_intervals
@@ -16,6 +17,7 @@ from tidespan.operators.stats import region_counts, total_reads
 from tidespan.operators.sweep import coverage
 from tidespan.sources import regions as R
 from tidespan.sources import sam, sinks
+from tidespan.sources.logs import benchmark_matrix, read_benchmarks
 from tidespan.streaming.coverage import stream_coverage, with_sentinels
 
 SAM = "@HD\tVN:1.0\n@SQ\tSN:b\tLN:249\n@SQ\tSN:a\tLN:10\n" + "".join(
@@ -114,6 +116,49 @@ def test_bam(spark, tmp_path, split):
         sam.refuse_cram("x.cram")
 
 
+def test_bam_round_trip(spark, tmp_path):
+    made = [(f"q{i}", i % 4096, None if i % 9 == 0 else i % 2, i - 1, None, None if i % 7 == 0 else i % 250, "*" if i % 5 == 0 else f"{10 + i % 3}M{i % 4 + 1}I", None, -1, i - 300, "" if i % 6 == 0 else "ACGTN"[: i % 5 + 1], None if i % 4 == 0 else "IIIII"[: i % 5 + 1]) for i in range(600)]
+    made = [(*m[:10], m[10] or "*", "*" if not m[10] else m[11]) for m in made] + [("long" * 60, 4, None, -1, None, 0, None, None, None, None, "ACGT" * 20_000, "5" * 80_000)]
+    refs = spark.createDataFrame([(0, "b", 9000), (1, "a", 8000)], "tid int, name string, length bigint")
+    reads = spark.createDataFrame(made, "qname string, flag int, tid int, start bigint, stop bigint, mapq int, cigar string, mate_tid int, mate_pos bigint, isize bigint, seq string, qual string").repartition(2, "qname")
+    sam.write_bam(reads, refs, str(tmp_path / "out"))
+    path = str(tmp_path / "out")
+    found = {r["qname"]: r for r in sam.read_bam(spark, path).collect()}
+    assert len(found) == len(made) and rows(sam.read_bam_refs(spark, path)) == [(0, "b", 9000), (1, "a", 8000)]
+    for q, flag, tid, start, _, mapq, cigar, _, mate_pos, isize, seq, qual in made:
+        r = found[q]
+        whole = (flag, tid, start, 255 if mapq is None else mapq, cigar or "*", -1 if mate_pos is None else mate_pos, isize or 0, seq, qual or "*")
+        assert tuple(r[c] for c in ("flag", "tid", "start", "mapq", "cigar", "mate_pos", "isize", "seq", "qual")) == whole
+    slim = sam.read_bam(spark, path, ["tid", "start", "stop"])
+    assert slim.columns == ["tid", "start", "stop"] and slim.where("tid = 1").count() == sum(m[2] == 1 for m in made)
+    assert rows(spark.read.format("bam").option("splitBytes", 30_000).load(path), "qname", "seq") == rows(sam.read_bam(spark, path), "qname", "seq")
+    sam.write_bam(reads.limit(0), refs, str(tmp_path / "none"))
+    assert sam.read_bam(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_fasta_headers_and_random_bases(spark, tmp_path):
+    path = _write(tmp_path / "x.fa", ">s1 map a>b note\nAC>GT\nAA\n\n>s2\r\nTT\r\n>empty\n")
+    assert rows(R.read_fasta(spark, path)) == [("empty", "", ""), ("s1", "map a>b note", "AC>GTAA"), ("s2", "", "TT")]
+    refs = spark.createDataFrame([(0, "z", 130), (1, "a", 0)], "tid int, name string, length bigint")
+    lines = [r["value"] for r in sinks.fasta_lines(refs, seed=3).orderBy("o1", "o2").collect()]
+    assert [len(x) for x in lines] == [2, 64, 64, 2, 2] and set("".join(lines[1:4])) == set("ACGT")
+    other = [r["value"] for r in sinks.fasta_lines(refs, seed=4).orderBy("o1", "o2").collect()]
+    assert other[1] != lines[1]
+
+
+def test_numbers_follow_the_order(spark):
+    data = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert rows(numbered(data, ["x"]).where("x <> number")) == [] and numbered(data.limit(0), ["x"]).count() == 0
+
+
+def test_benchmark_logs(spark, tmp_path):
+    for name, text in (("mem.set1.tool.v2.txt", "elapsed time:\t4.5\npeak rss:\t190\n"), ("mem.set1.x.txt", "nothing"), ("other.txt", "elapsed time:\t1\n")):
+        (tmp_path / name).write_text(text)
+    runs = read_benchmarks(spark, str(tmp_path))
+    assert rows(runs) == [("set1", "tool-v2", 4.5, 190), ("set1", "x", -1.0, -1)]
+    assert rows(benchmark_matrix(runs, "seconds", ["x", "tool-v2", "none"])) == [("set1", -1.0, 4.5, None)]
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("3S10M2D5I1N4=2X7H", "/a/b.c.bam", "I?#", 'gene_id "g x"; note "gene_id z"', 2.0 / 3)], "c string, p string, q string, a string, x double")
     got = row.select(reference_length(F.col("c")), query_length(F.col("c")), sample_name(F.col("p")), sample_name_long(F.col("p")), phred_values(F.col("q")), phred_text(phred_values(F.col("q"))), attribute(F.col("a"), "gene_id"), fixed(F.col("x"))).first()

@@ -40,7 +40,7 @@ def read_intervals(alignments: DataFrame, refs: DataFrame, options: InputOptions
     if options.require_sorted:
         kept = assert_sorted(kept, options.require_sorted)
     known = refs.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.max("length").alias("length"))
-    out = kept.select("sample", "tid", F.greatest(F.col("start"), F.lit(0)).alias("start"), stop.alias("stop"), is_reverse(F.col("flag")).alias("reverse")).join(checked_broadcast(known), "tid")
+    out = kept.select("sample", "tid", F.greatest(F.col("start"), F.lit(0)).alias("start"), stop.alias("stop"), is_reverse(F.col("flag")).alias("reverse")).join(checked_broadcast(known, refs), "tid")
     end = F.least(F.col("stop"), F.col("length"))
     if options.overhang == "error":
         beyond = F.raise_error(F.concat(F.lit("a read ends beyond reference "), F.col("tid").cast("string")))

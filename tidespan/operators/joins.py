@@ -106,12 +106,12 @@ def _semi(left: DataFrame, right: DataFrame, on: list[str], end: Column, meet: C
 MOST_BROADCAST = 1_000_000
 
 
-def checked_broadcast(few: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``few`` marked for a broadcast if it has at most ``most`` rows, which are counted no further than that.
+def checked_broadcast(few: DataFrame, source: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``few`` marked for a broadcast if ``source``, which has at least its rows, has at most ``most``; they are counted no further than that.
 
     Spark knows no size of what comes from a header or from Python, and would shuffle the other side.
     """
-    counted = few.limit(most + 1).count()
+    counted = source.limit(most + 1).count()
     return F.broadcast(few) if counted <= most else few
 
 

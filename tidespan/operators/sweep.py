@@ -39,7 +39,7 @@ def coverage(intervals: DataFrame, refs: DataFrame, *, stranded: bool = False, s
         samples = [r["sample"] for r in intervals.select("sample").distinct().collect()]
     samples = list(dict.fromkeys(samples))
     known = refs.where(F.col("length") > 0).groupBy("tid").agg(F.max("length").alias("length"))
-    longest = known.agg(F.max("length")).first()[0] or 0
+    longest = refs.agg(F.max("length")).first()[0] or 0
     tiles = tile if longest > tile else None
     sums = ["df", "dr"] if stranded else ["d"]
     changes = _changes(intervals, known, samples, keys, stranded)

@@ -36,6 +36,14 @@ def list_files(path: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((_uri(path, x.path), x.size) for x in found if x.type == stores.FileType.File and x.base_name.endswith(suffix))
 
 
+def has_files(path: str, suffix: str) -> bool:
+    """Whether the folder is there and has files with ``suffix``."""
+    try:
+        return bool(list_files(path, suffix))
+    except FileNotFoundError:
+        return False
+
+
 def open_file(path: str) -> NativeFile:
     store, place = resolve(path)
     return store.open_input_file(place)

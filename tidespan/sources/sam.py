@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 
 from tidespan.functions.alignments import UNMAPPED, has_flag, reference_length, sample_name
 from tidespan.schema import ALIGNMENTS, REFS
-from tidespan.sources.files import list_files, open_file, replacing_file
+from tidespan.sources.files import has_files, list_files, open_file, replacing_file
 from tidespan.sources.regions import _lines, _number
 
 _COLUMNS = [c.split()[0] for c in ALIGNMENTS.split(", ")]
@@ -425,8 +425,11 @@ def write_bam(reads: DataFrame, refs: DataFrame, path: str) -> None:
     """BAM files of reads (the columns of ``read_bam``, in the frame's order) in a folder, one for each partition.
 
     Each file has the whole header and is moved into place when it is complete, so that a task
-    that runs twice leaves one. The reference dictionary goes to every task.
+    that runs twice leaves one. The reference dictionary goes to every task. A folder that
+    has BAM files already isn't written to; an empty frame leaves one file without records.
     """
+    if has_files(path, ".bam"):
+        raise FileExistsError(path)
     known = [(r["name"], r["length"]) for r in refs.orderBy("tid").select("name", "length").collect()]
     shipped = reads.sparkSession.sparkContext.broadcast(known)
 
@@ -446,7 +449,12 @@ def write_bam(reads: DataFrame, refs: DataFrame, path: str) -> None:
             out.write(_bgzf(b""))
         yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    reads.select(*(c for c in _COLUMNS if c != "sample")).mapInArrow(run, "name string").count()
+    if not reads.select(*(c for c in _COLUMNS if c != "sample")).mapInArrow(run, "name string").count():
+        head = _bam_header(known)
+        with replacing_file(path, "part-00000.bam", "0") as out:
+            for at in range(0, len(head), _BLOCK):
+                out.write(_bgzf(head[at : at + _BLOCK]))
+            out.write(_bgzf(b""))
 
 
 #: Bytes of a block that is written; incompressible ones still fit a block's size of 65,536.
