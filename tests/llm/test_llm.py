@@ -16,7 +16,7 @@ from tidespan.llm import plans
 from tidespan.llm.containers import fill_containers, fullest, plan_bins
 from tidespan.llm.quantiles import Sketch, merge_sketches, percentiles, rank_error, read_percentiles, sketch_groups
 from tidespan.llm.tokens import VOCABULARIES, Encoder, RankQueue, encode_texts, load_vocabulary, token_counts
-from tidespan.llm.truncation import _count_contexts, cut_shares, cut_texts, final_part, length_limits, open_ends, score_ends, tail_kind
+from tidespan.llm.truncation import _count_contexts, cut_shares, cut_texts, final_part, learn_tails, length_limits, open_ends, score_ends, tail_kind
 
 # encoding
 
@@ -278,6 +278,28 @@ def test_null_and_repeated_ids_are_listed_as_often_as_they_come(spark):
     assert all(r["n_cut"] <= r["n_texts"] for r in cut_shares(df, "id", "text", "source", "lang").collect())
 
 
+def test_unseen_tails_are_learned(spark):
+    rng = random.Random(21)
+    data = []
+    for i, text, source, lang, kind in _corpus(4000, 20):
+        # words that no pattern knows, after finished texts and after cut ones
+        if kind in ("whole", "cut") and rng.random() < 0.3:
+            text, kind = text.rstrip("…\x00� ").removesuffix(" <lost>") + rng.choice([" relayed by gate 7", " fin 81", "\nstop record"]), f"{kind} with tail"
+        data.append((i, text, source, lang, kind))
+    df = spark.createDataFrame(data, "id bigint, text string, source string, lang string, kind string").repartition(4)
+    assert {"relayed by gate 0", "fin 0", "stop record"} <= learn_tails(df, "text")
+    found = {r["row_id"] for r in cut_texts(df, "id", "text", "source", "lang").collect()}
+    by = {k: [i for i, _, _, _, kind in data if kind == k] for k in {d[4] for d in data}}
+    share = {k: sum(i in found for i in v) / len(v) for k, v in by.items()}
+    assert share["whole with tail"] < 0.02 and share["cut with tail"] > 0.9 and share["cut"] > 0.9 and share["title"] < 0.05
+
+
+def test_first_words_of_cut_sentences_are_no_tails(spark):
+    texts = [f"{_sentence(random.Random(i))}. {_sentence(random.Random(i + 1))}." for i in range(300)] + [f"{_sentence(random.Random(i))}. {w}" for i in range(40) for w in ("The", "Th", "Our field")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert learn_tails(df, "text") == frozenset() and learn_tails(df.limit(0), "text") == frozenset()
+
+
 def test_blocks_of_contexts_count_alike(spark):
     df = spark.createDataFrame(_corpus(400, 3), "id bigint, text string, source string, lang string, kind string").repartition(3)
     opens = open_ends(df, "id", "text", "source", "lang").cache()

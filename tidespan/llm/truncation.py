@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -64,10 +65,84 @@ _NOTE = re.compile(r"\s*(?:\[[^\[\]]{0,40}\]|<[^<>\s][^<>]{0,40}>|[\[<({])\Z|\s[
 _TOKEN = re.compile(rf"(?<=[{re.escape(_FINAL + _CLOSING)}])\s*(?:\([^()]{{0,20}}\)|#\S*|\w+://\S*)\Z")
 
 
-def final_part(text: str) -> tuple[str, str]:
-    """A text without what was appended to it, and what that was."""
+#: Tokens of a learned tail at most, and its characters.
+_TAIL_TOKENS, _TAIL_CHARS = 4, 60
+#: Different texts that a learned tail must end after a finished sentence, and one in how many texts; the second bounds how
+#: many tails there can be.
+TAIL_TEXTS, TAIL_SHARE = 5, 20_000
+_START = re.compile(rf"[{re.escape(_FINAL)}][{re.escape(_CLOSING)}]*\s+")
+
+
+def _alike(text: str) -> str:
+    """Numbers are alike, and so are blanks."""
+    return re.sub(r"\s+", " ", re.sub(r"\d+", "0", text))
+
+
+def _last_tokens(text: str) -> Iterator[tuple[str, str]]:
+    """What the text's last one to _TAIL_TOKENS tokens are, and what stands before them."""
+    part = text[-_TAIL_CHARS:].rstrip()
+    for m in reversed(list(re.finditer(r"\s+\S+", part))[-_TAIL_TOKENS:]):
+        yield _alike(part[m.start() :].strip()), text[: len(text) - len(text[-_TAIL_CHARS:]) + m.start()]
+
+
+def learn_tails(df: DataFrame, text: str) -> frozenset[str]:
+    """Endings that are appended to texts, finished ones too, whatever they are about.
+
+    A candidate is a run of last tokens that follows a finished sentence, in TAIL_TEXTS different texts
+    and one of TAIL_SHARE. A sentence that was cut after its first word looks the same; but a
+    candidate that sentences begin with more often than texts end with it is that.
+    """
+
+    def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails, sames = [], []
+            for value, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = value.rstrip()
+                if whole and not _ENDED.search(whole, max(0, len(whole) - 20)):
+                    for tail, before in _last_tokens(whole):
+                        if _ENDED.search(before, max(0, len(before) - 20)):
+                            tails.append(tail)
+                            sames.append(same)
+            yield pa.RecordBatch.from_arrays([pa.array(tails, pa.string()), pa.array(sames, pa.int64())], names=["tail", "same"])
+
+    slim = df.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("same"))
+    least = max(TAIL_TEXTS, slim.count() // TAIL_SHARE)
+    found = slim.mapInArrow(endings, "tail string, same bigint").groupBy("tail").agg(F.count_distinct("same").alias("n")).where(F.col("n") >= least)
+    ends = {r["tail"]: r["n"] for r in found.collect()}  # at most _TAIL_TOKENS * TAIL_SHARE
+    if not ends:
+        return frozenset()
+    shipped = df.sparkSession.sparkContext.broadcast(frozenset(ends))
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails, counts = shipped.value, Counter()
+        heads, lengths = {t[:1] for t in tails}, sorted({len(t) for t in tails})
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                last = len(value.rstrip())
+                for m in _START.finditer(value):
+                    at = m.end()
+                    if at < last and ("0" if value[at].isdigit() else value[at]) in heads:
+                        start = _alike(value[at : at + 2 * _TAIL_CHARS])
+                        # a tail at the end of its own text is no beginning
+                        whole = start.rstrip() if at + 2 * _TAIL_CHARS >= last else None
+                        for n in lengths:
+                            if (t := start[:n]) in tails and t != whole:
+                                counts[t] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["tail", "n"])
+
+    inside = {r["tail"]: r["n"] for r in slim.select("text").mapInArrow(beginnings, "tail string, n bigint").groupBy("tail").agg(F.sum("n").alias("n")).collect()}
+    return frozenset(t for t, n in ends.items() if n > inside.get(t, 0))
+
+
+def final_part(text: str, tails: frozenset[str] = frozenset()) -> tuple[str, str]:
+    """A text without what was appended to it, and what that was: forms that no sentence ends in, and learned ``tails``."""
     core = text
     while True:
+        if tails:
+            before = next((b for tail, b in _last_tokens(core) if tail in tails and b.strip()), None)
+            if before is not None:
+                core = before
+                continue
         for pattern in (_SYMBOLS, _MORE, _DOTS, _NOTE, _TOKEN):
             m = pattern.search(core, max(0, len(core) - 120))
             if m and m.start() < len(core):
@@ -135,7 +210,7 @@ def _known_contexts(codes: np.ndarray, at: np.ndarray, wanted: np.ndarray, block
 
 
 def open_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) -> DataFrame:
-    """The texts that end without a final mark: what they end in, and what was appended.
+    """The texts that end without a final mark: what they end in, and what was appended (``learn_tails``, ``final_part``).
 
     Columns: row_id, source, language, tail, contexts (a hash for each of ORDERS), same (a
     hash of the text), chars, bytes (their lengths without replacement characters at the end),
@@ -150,11 +225,13 @@ def open_ends(df: DataFrame, row_id: str, text: str, source: str, lang: str) ->
         ]
     )
 
+    known = learn_tails(df, text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, cores, tails, sizes = [], [], [], []
             for i, value in enumerate(batch.column(3).to_pylist()):
-                core, tail = final_part(value)
+                core, tail = final_part(value, known)
                 if core and not _ENDED.search(core, max(0, len(core) - 20)):
                     at.append(i)
                     cores.append(core[-2 * ORDERS[-1] :])
