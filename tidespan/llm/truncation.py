@@ -67,7 +67,7 @@ _TOKEN = re.compile(rf"(?<=[{re.escape(_FINAL + _CLOSING)}])\s*(?:\([^()]{{0,20}
 
 #: Tokens of a learned tail at most, and its characters.
 _TAIL_TOKENS, _TAIL_CHARS = 4, 60
-#: Different texts that a learned tail must end after a finished sentence, and one in how many texts; the second bounds how
+#: Different texts that a learned tail must end after a finished sentence, and one in how many rows; the second bounds how
 #: many tails there can be.
 TAIL_TEXTS, TAIL_SHARE = 5, 20_000
 _START = re.compile(rf"[{re.escape(_FINAL)}][{re.escape(_CLOSING)}]*\s+")
@@ -106,7 +106,7 @@ def learn_tails(df: DataFrame, text: str) -> frozenset[str]:
             yield pa.RecordBatch.from_arrays([pa.array(tails, pa.string()), pa.array(sames, pa.int64())], names=["tail", "same"])
 
     slim = df.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("same"))
-    least = max(TAIL_TEXTS, slim.count() // TAIL_SHARE)
+    least = max(TAIL_TEXTS, df.count() // TAIL_SHARE)
     found = slim.mapInArrow(endings, "tail string, same bigint").groupBy("tail").agg(F.count_distinct("same").alias("n")).where(F.col("n") >= least)
     ends = {r["tail"]: r["n"] for r in found.collect()}  # at most _TAIL_TOKENS * TAIL_SHARE
     if not ends:
