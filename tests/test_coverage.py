@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidespan.functions.regions import Bands
 from tidespan.operators.alignments import assert_sorted, keep_fragments, read_intervals
-from tidespan.operators.joins import bin_classes, bind_regions, interval_join
+from tidespan.operators.joins import _looks, bin_classes, bind_regions, interval_join
 from tidespan.operators.multisample import antitarget, compare_counts, intersect_samples, mean_depths, shared_low_coverage, total_delta, wide_report
 from tidespan.operators.spans import fill_spans, span_summary
 from tidespan.operators.stats import clip_to_regions, count_reads, coverage_to_target, mapped_reads, region_coordinates, region_counts, region_stats
@@ -300,6 +300,13 @@ def test_joins_over_all_lengths_equal_brute_force(spark, touching):
     assert rows(interval_join(left, right, ["tid"], touching=touching, how="semi"), "i") == sorted([(i,) for i in {i for i, _ in pairs}] * 2, key=repr)
 
 
+def test_long_stretches_take_few_bins(spark):
+    left = spark.createDataFrame([(0, 0, 3_000_000_000, 7)], "tid int, start bigint, stop bigint, cov int")
+    right = spark.range(1000).select(F.lit(0).alias("tid"), (F.col("id") * 1_000_000).alias("start"), (F.col("id") * 1_000_000 + 100 + F.col("id") % 7 * 10_000).alias("stop"))
+    looks, _ = _looks(bin_classes(right), F.col("stop") - 1)
+    assert left.select(F.size(looks)).first()[0] < 20 and interval_join(left, right, ["tid"]).count() == 1000
+
+
 def test_one_giant_leaves_the_bins_of_the_others_alone(spark):
     many = spark.range(2000).select((F.col("id") * 1000).alias("start"), (F.col("id") * 1000 + 100).alias("stop"))
     assert bin_classes(many) == [7] and bin_classes(many.unionByName(spark.range(1).select(F.col("id").alias("start"), F.lit(2 * 10**8).cast("bigint").alias("stop")))) == [7, 29]

@@ -1,13 +1,15 @@
 """Interval joins as equi-joins on bins.
 
 Right intervals lie in bins about as wide as they are long, in a few classes of width, so that
-a giant doesn't widen the bins of the others. A pair is kept in the first bin that both touch,
-so it comes out once.
+a giant doesn't widen the bins of the others. A left interval looks into the bins of each class;
+one that is much longer than a class's bins (a stretch without depth, say) would touch too many
+of them and lies in bins of its own length instead, where the right ones look. A pair is kept in
+the first bin that both touch, so it comes out once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 _NARROW, _WIDE, _STEP = 7, 41, 2
 #: A class with at most so many times the intervals of the next wider one isn't worth another look by every left row.
 _MERGE = 4
+#: A left interval looks into bins of up to so many powers of two less than its length.
+_REACH = 4
+#: Classes of left intervals that are too long for that.
+_LONG = (12, 18, 24, 30, 41)
 #: Classes of left intervals in a semi-join.
 _LOOKS = (14, 20, 26, 32, 41)
 
@@ -54,7 +60,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: in
     rows with a partner, each once. Empty intervals overlap nothing; nulls in ``on`` or a bound
     match nothing; repeated rows each match.
 
-    ``width`` (default: by the right side's lengths) is the width of all bins.
+    ``width`` (default: by the right side's lengths) is the width of all bins; every interval is
+    then spread over all that it touches.
     """
     if not touching:
         left, right = (df.where(F.col("start") < F.col("stop")) for df in (left, right))
@@ -63,21 +70,48 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: in
     names = {c: f"right_{c}" if c in left.columns and c not in on else c for c in right.columns}
     if how == "semi":
         return _semi(left, right, on, end, meet)
-    if width is not None:
-        sizes = [width]
-        own = F.lit(width).cast("bigint")
+    if width is None:
+        classes = bin_classes(right)
+        left_bins, right_bins = _looks(classes, end)
+        own = _class_of(_bits(F.col("start"), F.col("stop")), classes)
     else:
-        sizes = [1 << k for k in bin_classes(right)]
-        own = F.lit(sizes[-1])
-        for size in reversed(sizes[:-1]):
-            own = F.when(F.col("stop") - F.col("start") < size, F.lit(size)).otherwise(own)
-    r = right.withColumn("__size", own.cast("bigint")).withColumn("__bin", F.explode(_bins(F.col("__size"), end)))
-    r = r.select(*on, "__size", "__bin", *(F.col(c).alias(names[c]) for c in right.columns if c not in on))
-    looks = F.array(*(F.lit(size).cast("bigint") for size in sizes))
-    spread = left.withColumn("__size", F.explode(looks)).withColumn("__bin", F.explode(_bins(F.col("__size"), end)))
-    first = F.floor(F.greatest("start", "right_start") / F.col("__size")).cast("bigint")
-    pairs = spread.join(r, [*on, "__size", "__bin"])
-    return pairs.where(meet(F.col("start"), F.col("right_stop")) & meet(F.col("right_start"), F.col("stop")) & (first == F.col("__bin"))).drop("__size", "__bin")
+        own = F.lit(0)
+        one = lambda k: F.struct(F.lit(width).cast("bigint").alias("size"), F.lit(False).alias("by_left"), k.alias("bin"))
+        left_bins = right_bins = F.transform(_bins(F.lit(width), end), one)
+    r = right.withColumn("__look", F.explode(right_bins)).withColumn("__class", own)
+    r = r.select(*on, "__look", "__class", *(F.col(c).alias(names[c]) for c in right.columns if c not in on))
+    pairs = left.withColumn("__look", F.explode(left_bins)).join(r, [*on, "__look"])
+    first = F.floor(F.greatest("start", "right_start") / F.col("__look.size")).cast("bigint")
+    if width is None:
+        # a pair meets in the right one's bins if the left one is short enough to look there
+        pairs = pairs.where(~F.col("__look.by_left") | (_bits(F.col("start"), F.col("stop")) > F.col("__class") + _REACH))
+    return pairs.where(meet(F.col("start"), F.col("right_stop")) & meet(F.col("right_start"), F.col("stop")) & (first == F.col("__look.bin"))).drop("__look", "__class")
+
+
+def _class_of(bits: Column, classes: Sequence[int]) -> Column:
+    """The least of ``classes`` that is no less than ``bits``, or the greatest."""
+    out = F.lit(classes[-1])
+    for k in reversed(classes[:-1]):
+        out = F.when(bits <= k, F.lit(k)).otherwise(out)
+    return out
+
+
+def _looks(classes: list[int], end: Column) -> tuple[Column, Column]:
+    """The bins of a left and of a right interval: arrays of (size, by_left, bin)."""
+    bits = _bits(F.col("start"), F.col("stop"))
+    none = F.array().cast("array<struct<size:bigint,by_left:boolean,bin:bigint>>")
+
+    def touched(k: Column | int, by_left: bool, when: Column) -> Column:
+        size = F.lit(1 << k).cast("bigint") if isinstance(k, int) else F.pow(F.lit(2), k).cast("bigint")
+        found = F.transform(_bins(size, end), lambda b: F.struct(size.alias("size"), F.lit(by_left).alias("by_left"), b.alias("bin")))
+        return F.coalesce(F.when(when, found), none)
+
+    left = [touched(k, False, bits <= k + _REACH) for k in classes]
+    left.append(touched(_class_of(bits, _LONG), True, bits > classes[0] + _REACH))
+    own = _class_of(bits, classes)
+    right = [touched(own, False, F.lit(True))]
+    right += [touched(k, True, F.lit(k) > own + _REACH) for k in _LONG if k > classes[0] + _REACH]
+    return F.flatten(F.array(*left)), F.flatten(F.array(*right))
 
 
 def _semi(left: DataFrame, right: DataFrame, on: list[str], end: Column, meet: Callable[[Column, Column], Column]) -> DataFrame:
