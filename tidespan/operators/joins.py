@@ -44,12 +44,6 @@ def bin_classes(regions: DataFrame) -> list[int]:
     return kept or [_NARROW]
 
 
-def _bins(size: Column, stop: Column) -> Column:
-    """The bins of ``size`` positions from ``start`` to ``stop``, included."""
-    first, last = F.floor(F.col("start") / size).cast("bigint"), F.floor(stop / size).cast("bigint")
-    return F.when(first <= last, F.sequence(first, last))
-
-
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: int | None = None, touching: bool = False, how: str = "inner") -> DataFrame:
     """Pairs of overlapping intervals (``start``, ``stop``) with equal ``on``.
 
@@ -60,8 +54,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: in
     rows with a partner, each once. Empty intervals overlap nothing; nulls in ``on`` or a bound
     match nothing; repeated rows each match.
 
-    ``width`` (default: by the right side's lengths) is the width of all bins; every interval is
-    then spread over all that it touches.
+    ``width`` (default: by the right side's lengths) is the width of the right side's bins, up to
+    the next power of two.
     """
     if not touching:
         left, right = (df.where(F.col("start") < F.col("stop")) for df in (left, right))
@@ -70,22 +64,15 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], *, width: in
     names = {c: f"right_{c}" if c in left.columns and c not in on else c for c in right.columns}
     if how == "semi":
         return _semi(left, right, on, end, meet)
-    if width is None:
-        classes = bin_classes(right)
-        left_bins, right_bins = _looks(classes, end)
-        own = _class_of(_bits(F.col("start"), F.col("stop")), classes)
-    else:
-        own = F.lit(0)
-        one = lambda k: F.struct(F.lit(width).cast("bigint").alias("size"), F.lit(False).alias("by_left"), k.alias("bin"))
-        left_bins = right_bins = F.transform(_bins(F.lit(width), end), one)
-    r = right.withColumn("__look", F.explode(right_bins)).withColumn("__class", own)
+    classes = bin_classes(right) if width is None else [(max(2, width) - 1).bit_length()]
+    left_bins, right_bins = _looks(classes, end)
+    r = right.withColumn("__look", F.explode(right_bins)).withColumn("__class", _class_of(_bits(F.col("start"), F.col("stop")), classes))
     r = r.select(*on, "__look", "__class", *(F.col(c).alias(names[c]) for c in right.columns if c not in on))
     pairs = left.withColumn("__look", F.explode(left_bins)).join(r, [*on, "__look"])
-    first = F.floor(F.greatest("start", "right_start") / F.col("__look.size")).cast("bigint")
-    if width is None:
-        # a pair meets in the right one's bins if the left one is short enough to look there
-        pairs = pairs.where(~F.col("__look.by_left") | (_bits(F.col("start"), F.col("stop")) > F.col("__class") + _REACH))
-    return pairs.where(meet(F.col("start"), F.col("right_stop")) & meet(F.col("right_start"), F.col("stop")) & (first == F.col("__look.bin"))).drop("__look", "__class")
+    first = F.expr("shiftright(greatest(start, right_start), cast(shiftright(__look, 1) & 63 AS int)) = shiftright(__look, 7)")
+    # a pair meets in the right one's bins if the left one is short enough to look there
+    near = F.expr("__look & 1 = 0") | (_bits(F.col("start"), F.col("stop")) > F.col("__class") + _REACH)
+    return pairs.where(meet(F.col("start"), F.col("right_stop")) & meet(F.col("right_start"), F.col("stop")) & first & near).drop("__look", "__class")
 
 
 def _class_of(bits: Column, classes: Sequence[int]) -> Column:
@@ -97,21 +84,22 @@ def _class_of(bits: Column, classes: Sequence[int]) -> Column:
 
 
 def _looks(classes: list[int], end: Column) -> tuple[Column, Column]:
-    """The bins of a left and of a right interval: arrays of (size, by_left, bin)."""
+    """The bins of a left and of a right interval. A bin of 2**k positions is one number: bin * 128 + k * 2, plus 1 in those that follow the left side's lengths."""
     bits = _bits(F.col("start"), F.col("stop"))
-    none = F.array().cast("array<struct<size:bigint,by_left:boolean,bin:bigint>>")
 
-    def touched(k: Column | int, by_left: bool, when: Column) -> Column:
-        size = F.lit(1 << k).cast("bigint") if isinstance(k, int) else F.pow(F.lit(2), k).cast("bigint")
-        found = F.transform(_bins(size, end), lambda b: F.struct(size.alias("size"), F.lit(by_left).alias("by_left"), b.alias("bin")))
-        return F.coalesce(F.when(when, found), none)
+    def touched(k: int | Column, by_left: int) -> Column:
+        shift, code = (F.lit(k) if isinstance(k, int) else k).cast("int"), k * 2 + by_left
+        low, high = (F.call_function("shiftright", at.cast("bigint"), shift) for at in (F.col("start"), end))
+        return F.sequence(low * 128 + code, high * 128 + code, F.lit(128).cast("bigint"))
 
-    left = [touched(k, False, bits <= k + _REACH) for k in classes]
-    left.append(touched(_class_of(bits, _LONG), True, bits > classes[0] + _REACH))
+    none = F.array().cast("array<bigint>")
+    near = F.concat(*(F.when(bits <= k + _REACH, touched(k, 0)).otherwise(none) for k in classes))
+    left = F.when(bits > classes[0] + _REACH, F.concat(near, touched(_class_of(bits, _LONG), 1))).otherwise(touched(classes[0], 0) if len(classes) == 1 else near)
     own = _class_of(bits, classes)
-    right = [touched(own, False, F.lit(True))]
-    right += [touched(k, True, F.lit(k) > own + _REACH) for k in _LONG if k > classes[0] + _REACH]
-    return F.flatten(F.array(*left)), F.flatten(F.array(*right))
+    far = [F.when(F.lit(k) > own + _REACH, touched(k, 1)).otherwise(none) for k in _LONG if k > classes[0] + _REACH]
+    right = F.concat(touched(own, 0), *far)
+    there = F.col("start") <= F.col("stop")
+    return F.when(there, left), F.when(there, right)
 
 
 def _semi(left: DataFrame, right: DataFrame, on: list[str], end: Column, meet: Callable[[Column, Column], Column]) -> DataFrame:
