@@ -3,6 +3,7 @@
 import pytest
 
 from tidespan.__main__ import main
+from tidespan.sources.sam import read_sam, read_sam_refs, write_bam
 
 HEADER = "@SQ\tSN:seq1\tLN:1000\n@SQ\tSN:seq2\tLN:1000\n@SQ\tSN:seq0\tLN:1000\n"
 _STARTS = [9] * 5 + [189] * 2 + [200] * 2 + [250] * 2 + [299, 379, 400, 650]
@@ -53,3 +54,22 @@ def test_other_commands(spark, capsys, files):
     (files / "c.bed").write_text("seq1\t0\t100\t2\nseq9\t0\t5\t1\n")
     assert "include_5\t190" in _run(capsys, "totarget", files / "c.bed", "-r", files / "t.bed")
     assert _run(capsys, "lowcov", files / "mini.sam", files / "other.sam", "--max", 0)[0] == "seq1\t0\t9\t2"
+
+
+def test_standard_input_and_bam(spark, capsys, files, monkeypatch):
+    whole = _run(capsys, "coverage", files / "mini.sam")
+    with open(files / "mini.sam", "rb") as text:
+        monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": text}))
+        assert _run(capsys, "coverage", "-") == whole
+    refs = read_sam_refs(spark, str(files / "mini.sam"))
+    write_bam(read_sam(spark, str(files / "mini.sam"), refs).coalesce(1), refs, str(files / "out"))
+    assert _run(capsys, "coverage", files / "out" / "part-00000.bam") == whole
+
+
+def test_older_habits_and_bed_output(spark, capsys, files):
+    text = (files / "mini.sam").read_text() + "low\t0\tseq0\t121\t0\t10M\t*\t0\t0\t*\t*\n"
+    (files / "low.sam").write_text(text)
+    assert "null_0\t1" in _run(capsys, "counts", files / "low.sam", "-r", files / "t.bed")
+    assert "null_0\t0" in _run(capsys, "counts", files / "low.sam", "-r", files / "t.bed", "--compat")
+    (files / "c.bed").write_text("seq1\t0\t100\t2\n")
+    assert "seq1\t5\t112\tinclude_5\t190" in _run(capsys, "totarget", files / "c.bed", "-r", files / "t.bed", "-b")
