@@ -300,6 +300,17 @@ def test_joins_over_all_lengths_equal_brute_force(spark, touching):
     assert rows(interval_join(left, right, ["tid"], touching=touching, how="semi"), "i") == sorted([(i,) for i in {i for i, _ in pairs}] * 2, key=repr)
 
 
+@pytest.mark.parametrize("n, sent", [(2_000, True), (60_000, False)])
+def test_a_large_side_in_bins_is_not_broadcast(spark, n, sent):
+    # 60,000 regions are 600,000 rows in bins, and by Spark's estimate still under its threshold
+    regions = spark.range(n).select((F.col("id") % 3).cast("int").alias("tid"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 50).alias("stop"))
+    reads = spark.range(1_000).select((F.col("id") % 3).cast("int").alias("tid"), (F.col("id") * 70).alias("start"), (F.col("id") * 70 + 10).alias("stop"), "id")
+    found = interval_join(reads, regions, ["tid"], how="semi")
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == sent
+    # region k is on reference k % 3 and begins at 100 k
+    assert rows(found, "id") == sorted(((i,) for i in range(1_000) if any(k % 3 == i % 3 and k < n and i * 70 < k * 100 + 50 and k * 100 < i * 70 + 10 for k in range(i * 70 // 100 - 1, i * 70 // 100 + 2))), key=repr)
+
+
 def test_long_stretches_take_few_bins(spark):
     left = spark.createDataFrame([(0, 0, 3_000_000_000, 7)], "tid int, start bigint, stop bigint, cov int")
     right = spark.range(1000).select(F.lit(0).alias("tid"), (F.col("id") * 1_000_000).alias("start"), (F.col("id") * 1_000_000 + 100 + F.col("id") % 7 * 10_000).alias("stop"))
