@@ -15,6 +15,7 @@ from tidespan.operators.stats import clip_to_regions, count_reads, coverage_to_t
 from tidespan.operators.sweep import coverage, merge_equal_runs
 from tidespan.options import InputOptions, OutputOptions
 from tidespan.plans import coverage as plans
+from tidespan.plans import domain
 
 MINI_REFS = [(0, "seq1", 1000), (1, "seq2", 1000), (2, "seq0", 1000)]
 _COPIES = [(9, 109, 5), (189, 289, 2), (200, 300, 2), (250, 350, 2), (299, 399, 1), (379, 479, 1), (400, 500, 1), (650, 750, 1)]
@@ -311,6 +312,21 @@ def test_a_large_side_in_bins_is_not_broadcast(spark, n, sent):
     assert rows(found, "id") == sorted(((i,) for i in range(1_000) if any(k % 3 == i % 3 and k < n and i * 70 < k * 100 + 50 and k * 100 < i * 70 + 10 for k in range(i * 70 // 100 - 1, i * 70 // 100 + 2))), key=repr)
 
 
+def test_many_regions_are_not_broadcast_to_the_alignments(spark, monkeypatch):
+    i, name = F.col("id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int"))
+    tables = {
+        "alignments": spark.range(1_000).select(i.alias("aln_id"), F.lit("s").alias("sample"), F.lit(0).alias("flag"), (i % 3).cast("int").alias("chrom"), (i * 70).alias("start"), (i * 70 + 10).alias("stop"), F.lit(60).alias("mapq"), F.lit(0).cast("bigint").alias("isize")),
+        "refs": spark.range(3).select(i.cast("int").alias("tid"), name.alias("name"), F.lit(10**7).cast("bigint").alias("length")),
+        "regions": spark.range(60_000).select(i.alias("region_id"), name.alias("chrom"), (i * 100).alias("start"), (i * 100 + 50).alias("stop"), name.alias("name")),
+    }
+    monkeypatch.setattr(domain, "table", lambda spark, folder, name: tables[name])
+    found = domain.aln_in_target(spark, "")
+    semi = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftSemi" in line]
+    assert len(semi) == 1 and "SortMergeJoin" in semi[0]
+    met = [r for r in range(1_000) if any(k % 3 == r % 3 and r * 70 < k * 100 + 50 and k * 100 < r * 70 + 10 for k in range(r * 70 // 100 - 1, r * 70 // 100 + 2))]
+    assert rows(found) == [("s", t, len(of), sum(of) * 70) for t in range(3) if (of := [r for r in met if r % 3 == t])]
+
+
 def test_long_stretches_take_few_bins(spark):
     left = spark.createDataFrame([(0, 0, 3_000_000_000, 7)], "tid int, start bigint, stop bigint, cov int")
     right = spark.range(1000).select(F.lit(0).alias("tid"), (F.col("id") * 1_000_000).alias("start"), (F.col("id") * 1_000_000 + 100 + F.col("id") % 7 * 10_000).alias("stop"))
