@@ -327,6 +327,20 @@ def test_many_regions_are_not_broadcast_to_the_alignments(spark, monkeypatch):
     assert rows(found) == [("s", t, len(of), sum(of) * 70) for t in range(3) if (of := [r for r in met if r % 3 == t])]
 
 
+@pytest.mark.parametrize("threshold, sent", [("10m", True), ("256k", False), ("-1", False)])
+def test_a_side_in_bins_is_held_against_the_threshold(spark, threshold, sent):
+    # 2,000 regions are 20,000 rows in bins, which take 3 MB; Spark's estimate is under 256 KB
+    regions = spark.range(2_000).select((F.col("id") % 3).cast("int").alias("tid"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 50).alias("stop"))
+    reads = spark.range(1_000).select((F.col("id") % 3).cast("int").alias("tid"), (F.col("id") * 70).alias("start"), (F.col("id") * 70 + 10).alias("stop"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = interval_join(reads, regions, ["tid"], how="semi")
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == sent
+        assert rows(found, "id") == sorted(((i,) for i in range(1_000) if any(k % 3 == i % 3 and i * 70 < k * 100 + 50 and k * 100 < i * 70 + 10 for k in range(i * 70 // 100 - 1, i * 70 // 100 + 2))), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_long_stretches_take_few_bins(spark):
     left = spark.createDataFrame([(0, 0, 3_000_000_000, 7)], "tid int, start bigint, stop bigint, cov int")
     right = spark.range(1000).select(F.lit(0).alias("tid"), (F.col("id") * 1_000_000).alias("start"), (F.col("id") * 1_000_000 + 100 + F.col("id") % 7 * 10_000).alias("stop"))
